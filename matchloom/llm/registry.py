@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, url_filter
+from . import bpe, packing, quality, url_filter
 
-MODULES = [bpe, url_filter, quality]
+MODULES = [bpe, url_filter, packing, quality]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
