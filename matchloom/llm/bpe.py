@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 from .common import chunks, table, written
 
 TOKENIZER = "byte_bpe_50k.json"
-HOT_WORDS, HOT_BYTES = 1 << 19, 48
+HOT_WORDS, HOT_BYTES = 1 << 17, 48
 #: The pre-tokeniser's pattern; white space is Unicode's in both dialects.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 JAVA_PATTERN = PATTERN.replace(r"[^\s", r"[^\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}").replace(r"\s", r"\p{IsWhite_Space}")
