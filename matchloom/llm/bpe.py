@@ -51,7 +51,7 @@ def word_table(texts: DataFrame, path: str) -> DataFrame:
     def run(batches):
         tok = _tokenizer(path)
         for pdf in batches:
-            yield pdf.assign(ids=[e.ids for e in tok.encode_batch(list(pdf["word"]), add_special_tokens=False)])
+            yield pdf.assign(ids=[e.ids for e in tok.encode_batch_fast(list(pdf["word"]), add_special_tokens=False)])
 
     return words.mapInPandas(run, "word string, n long, ids array<int>")
 

@@ -20,7 +20,12 @@ _S33 = np.uint64(33)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
+#: Rows sent to Python at once. Texts can be long, and a batch is held several times over on its way.
+BATCH_ROWS = 500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
