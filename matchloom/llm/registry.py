@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, knn, packing, quality, toxicity, url_filter
+from . import bpe, knn, lm_score, packing, quality, toxicity, url_filter
 
-MODULES = [bpe, toxicity, url_filter, packing, quality, knn]
+MODULES = [bpe, toxicity, url_filter, packing, quality, knn, lm_score]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
