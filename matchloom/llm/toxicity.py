@@ -20,7 +20,7 @@ from .common import chunks, table
 
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4, 5)
 #: The bound of the training sample, in documents and in words taken of all of them, and how it is trained.
-SAMPLE, EPOCHS, RATE, BATCH = 6000, 6, 0.5, 32
+SAMPLE, EPOCHS, RATE, BATCH = 5000, 6, 0.5, 32
 #: Documents that a bucket must occur in to get a vector (at least MIN_DOCS, and one in RARE of the sample), and the pull of vectors towards zero.
 MIN_DOCS, RARE, DECAY = 3, 300, 1e-3
 #: Averages are small beside single vectors; the classifier works on SCALE times the average.
@@ -33,7 +33,7 @@ def subwords(word: str) -> np.ndarray:
     """Buckets of a word and its character n-grams."""
     w = f"<{word}>"
     parts = [w] + [w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)]
-    return np.array([xxhash.xxh64_intdigest(p) % BUCKETS for p in parts], np.int64)
+    return np.array([xxhash.xxh64_intdigest(p) % BUCKETS for p in parts], np.int32)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -46,7 +46,7 @@ def _bag(text: str, memo: dict) -> tuple[np.ndarray, np.ndarray]:
     for w in words_of(text):
         count[w] = count.get(w, 0) + 1
     if not count:
-        return np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
     found = []
     for w in count:
         s = memo.get(w)
@@ -56,7 +56,7 @@ def _bag(text: str, memo: dict) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(s) for s in found])
     ids, where = np.unique(np.concatenate(found), return_inverse=True)
     times = np.repeat(np.array(list(count.values()), float), size)
-    return ids, np.bincount(where, weights=times / times.sum())
+    return ids, np.bincount(where, weights=times / times.sum()).astype(np.float32)
 
 
 class Model:
@@ -78,9 +78,12 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model | None:
     rng = np.random.default_rng(seed)
     memo: dict[str, np.ndarray] = {}
     bags = [_bag(t, memo) for t in texts]
+    del memo
     # a bucket of few documents says more about those than about the label: its vector stays zero
     least = max(MIN_DOCS, len(y) // RARE)
-    df = np.bincount(np.concatenate([i for i, _ in bags]), minlength=BUCKETS)
+    df = np.zeros(BUCKETS, np.int64)
+    for i, _ in bags:
+        df[i] += 1
     bags = [(i[k], v[k]) for i, v in bags for k in [df[i] >= least]]
     e = rng.normal(0, 0.1, (BUCKETS, DIM)) * (df >= least)[:, None]
     w = rng.normal(0, 0.5, DIM)
