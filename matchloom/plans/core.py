@@ -123,7 +123,7 @@ add("b12_regenerated", lambda s, d: events(s, d).select("event_id", X.regenerate
 add("b13_platt", lambda s, d: events(s, d).select("event_id", F.round(X.platt(X.to_logit(F.col("k") / 100), -0.9, 0.1), 6).alias("p")),
     "select event_id, round(1 / (1 + exp(-0.9 * ln(c / (1 - c)) + 0.1)), 6) as p from (select event_id, least(greatest(k / 100, 1e-6), 1 - 1e-6) as c from e)", "e")
 add("b16_basket_distance", lambda s, d: O.baskets(rosters(s, d), 1).withColumnRenamed("items", "a").join(O.baskets(rosters(s, d), 0).withColumnRenamed("items", "b"), "match_id", "left").select("match_id", X.basket_distance(F.col("a"), F.col("b")).alias("distance")),
-    f"with {_BASKETS}, b0 as (select match_id, list(distinct item) as items from r where is_player = 0 group by match_id) select b.match_id, 8 - len(list_intersect(b.items, b0.items)) as distance from b left join b0 using (match_id)", "r")
+    f"with {_BASKETS}, b0 as (select match_id, list(distinct item) as items from r where is_player = 0 group by match_id) select b.match_id, case when b0.items is not null then 8 - len(list_intersect(b.items, b0.items)) end as distance from b left join b0 using (match_id)", "r")
 
 # --- E: aggregates -----------------------------------------------------------------------------------------------
 
