@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding through a table of distinct words.
 
-Spark splits the texts into words, counts the distinct ones and encodes each of them once. The most frequent words (at
-most HOT_WORDS of at most HOT_BYTES bytes each, so their table has a fixed bound) travel to the tasks as a broadcast;
-the ids of all rarer words are joined back through Spark on the word. Ids are then laid down by position. Decoding
-joins ids to the vocabulary's pieces, a table bounded by the vocabulary.
+Texts are split into words where they are read. The words that a bounded sample of documents shows to be most frequent
+(at most HOT_WORDS of at most HOT_BYTES bytes each, so their table has a fixed bound) are encoded once and travel to the
+tasks as a broadcast. All other words go, once a document, to the partition of their hash, where each distinct word is
+encoded once; its ids are joined back to the documents and laid down by position. Which words are in the sample decides
+how much moves, never what comes out. Decoding joins ids to the vocabulary's pieces, a table bounded by the vocabulary.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import chunks, table, written
+from .common import chunks, table
 
 TOKENIZER = "byte_bpe_50k.json"
-HOT_WORDS, HOT_BYTES = 1 << 17, 48
+HOT_WORDS, HOT_BYTES, SAMPLE = 1 << 18, 64, 40_000
 #: The pre-tokeniser's pattern; white space is Unicode's in both dialects.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 JAVA_PATTERN = PATTERN.replace(r"[^\s", r"[^\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}").replace(r"\s", r"\p{IsWhite_Space}")
@@ -44,16 +45,13 @@ def split_words(text: Column, specials: list[str]) -> Column:
     return F.when(has, F.flatten(F.transform(parts, every))).otherwise(every(text))
 
 
-def word_table(texts: DataFrame, path: str) -> DataFrame:
-    """(word, n, ids): every distinct word of texts.text, how often it occurs, and its ids; each is encoded once."""
-    words = texts.select(F.explode(split_words(F.col("text"), special_tokens(path))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+def distinct_words(texts: DataFrame, path: str) -> DataFrame:
+    """(word, n): every distinct word of texts.text and how often it occurs."""
+    return texts.select(F.explode(split_words(F.col("text"), special_tokens(path))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
-    def run(batches):
-        tok = _tokenizer(path)
-        for pdf in batches:
-            yield pdf.assign(ids=[e.ids for e in tok.encode_batch_fast(list(pdf["word"]), add_special_tokens=False)])
 
-    return words.mapInPandas(run, "word string, n long, ids array<int>")
+def _encode_each(words: list[str], tok: Tokenizer) -> list[bytes]:
+    return [np.asarray(e.ids, np.int32).tobytes() for e in tok.encode_batch_fast(words, add_special_tokens=False)]
 
 
 def _tokenizer(path: str) -> Tokenizer:
@@ -71,38 +69,55 @@ class _Encoder:
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in specials) + ")") if specials else None
         self.words = regex.compile(PATTERN)
 
-    def chunk(self, text: str, rare: dict[str, bytes]) -> bytes:
-        known, out = True, []
+    def chunk(self, text: str, out: list, rare: dict[str, int]) -> None:
+        """Append the ids of text's words to out, for words without known ids their number in rare, which grows."""
+        parts, known = [], True
         for w in self.words.findall(text):
             b = self.hot.get(w)
             if b is None:
-                b, known = rare[w], False
-            out.append(b)
-        joined = b"".join(out)
+                b, known = rare.setdefault(w, len(rare)), False
+            parts.append(b)
         if known:
-            if len(self.memo) > 500_000:
+            if len(self.memo) > 250_000:
                 self.memo.clear()
-            self.memo[text] = joined
-        return joined
+            self.memo[text] = joined = b"".join(parts)
+            out.append(joined)
+        else:
+            out += parts
 
-    def piece(self, text: str, rare: dict[str, bytes]) -> bytes:
+    def piece(self, text: str, out: list, rare: dict[str, int]) -> None:
         # a lone space between two other characters always begins a word, so what it parts can be looked up alone
         if _UNSAFE.search(text):
-            return self.chunk(text, rare)
+            self.chunk(text, out, rare)
+            return
         first, *rest = text.split(" ")
-        get, out = self.memo.get, [self.chunk(first, rare)] if first else []
+        get = self.memo.get
+        if first:
+            self.chunk(first, out, rare)
         for x in rest:
             x = " " + x
-            out.append(get(x) or self.chunk(x, rare))
-        return b"".join(out)
-
-    def __call__(self, text: str, rare: dict[str, bytes]) -> np.ndarray:
+            b = get(x)
+            if b is None:
+                self.chunk(x, out, rare)
+            else:
+                out.append(b)
+
+    def __call__(self, text: str) -> tuple[list, list[str]]:
+        """(ids of stretches as bytes and numbers of rare words, in order; the rare words)."""
+        out: list = []
+        rare: dict[str, int] = {}
         if self.cut is None or not any(s in text for s in self.specials):
-            return np.frombuffer(self.piece(text, rare), np.int32)
-        return np.frombuffer(b"".join(self.specials[x] if x in self.specials else self.piece(x, rare) for x in self.cut.split(text)), np.int32)
+            self.piece(text, out, rare)
+        else:
+            for x in self.cut.split(text):
+                if x in self.specials:
+                    out.append(self.specials[x])
+                else:
+                    self.piece(x, out, rare)
+        return out, list(rare)
 
 
-def encode(docs: DataFrame, path: str | None = None, hot_words: int = HOT_WORDS) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, hot_words: int = HOT_WORDS, sample_rows: int = SAMPLE) -> DataFrame:
     """(doc_id, ids array<int>) for every row of docs(doc_id, text): the ids of the whole text.
 
     Null texts count as empty and give no ids. Rows whose doc_id is null or repeated each keep their own ids; other columns
@@ -111,41 +126,72 @@ def encode(docs: DataFrame, path: str | None = None, hot_words: int = HOT_WORDS)
     path = path or public_tokenizers.path(TOKENIZER)
     spark, specials = docs.sparkSession, special_tokens(path)
     kind = dict(docs.dtypes)["doc_id"]
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = written(word_table(texts, path), "words")
-    hot = known.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").select("word", "ids").limit(hot_words)
-    hot = written(hot, "hot-words")
-    sent = spark.sparkContext.broadcast({w: np.asarray(i, np.int32).tobytes() for w, i in hot.toPandas().itertuples(index=False)})
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # a row's key: the rare words of rows with one key are numbered alike, for the key holds a hash of the text
+    texts = docs.select(F.xxhash64("doc_id", text).alias("key"), "doc_id", text.alias("text"))
+    rows = max(1, texts.count())
+    sample = texts.where(F.pmod(F.col("key"), F.lit(1_000_000)) < min(1_000_000, 1_000_000 * sample_rows // rows + 1))
+    frequent = distinct_words(sample, path).where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").select("word").limit(hot_words)
     tok = _tokenizer(path)
+    words = frequent.toArrow().column("word").to_pylist()
+    hot: dict[str, bytes] = {}
+    for a in range(0, len(words), 20_000):
+        hot |= zip(words[a : a + 20_000], _encode_each(words[a : a + 20_000], tok))
+    sent = spark.sparkContext.broadcast(hot)
+    del hot, words
     special_ids = {s: np.int32(tok.token_to_id(s)).tobytes() for s in specials}
 
-    # a row's key: the rare words of all rows with one key are pooled, which does no harm
-    key = F.coalesce(F.hash("doc_id").cast("long") if kind not in ("bigint", "int") else F.col("doc_id").cast("long"), F.xxhash64("text"))
-    per_doc = texts.select(key.alias("key"), F.explode(F.array_distinct(split_words(F.col("text"), specials))).alias("word"))
-    rare_words = per_doc.join(F.broadcast(hot.select("word")), "word", "left_anti")
-    found = rare_words.join(known.select("word", "ids"), "word")
-    rare = found.groupBy("key").agg(F.collect_list("word").alias("rare"), F.collect_list("ids").alias("rare_ids"))
+    def rare_words(batches):
+        lay = _encoder(sent, special_ids)
+        for pdf in batches:
+            found = [(k, i, w) for k, t in zip(pdf["key"], pdf["text"]) for i, w in enumerate(lay(t)[1])]
+            yield pd.DataFrame(found, columns=["key", "number", "word"])
+
+    def encode_rare(batches):
+        tok, last, ids = _tokenizer(path), None, b""
+        for pdf in batches:  # sorted by word
+            words = pdf["word"].tolist()
+            new = list(dict.fromkeys(w for w in words if w != last))
+            known = dict(zip(new, _encode_each(new, tok)))
+            known.setdefault(last, ids)
+            yield pd.DataFrame({"key": pdf["key"], "number": pdf["number"], "ids": [known[w] for w in words]})
+            last, ids = words[-1], known[words[-1]]
+
+    asked = texts.select("key", "text").mapInPandas(rare_words, "key long, number int, word string")
+    found = asked.repartition("word").sortWithinPartitions("word").mapInPandas(encode_rare, "key long, number int, ids binary")
+    rare = found.groupBy("key").agg(F.collect_list(F.struct("number", "ids")).alias("rare"))
 
     def pack(batches):
         z = zstandard.ZstdCompressor(3)
         for pdf in batches:
             yield pdf.assign(text=[z.compress(t.encode("utf-8", "surrogatepass")) for t in pdf["text"]])
 
-    packed = texts.select(key.alias("key"), "doc_id", "text").mapInPandas(pack, f"key long, doc_id {kind}, text binary")
+    packed = texts.mapInPandas(pack, f"key long, doc_id {kind}, text binary")
 
     def fill(batches):
         z = zstandard.ZstdDecompressor()
-        lay = _Encoder(sent.value, special_ids)
+        lay = _encoder(sent, special_ids)
         for pdf in batches:
-            for a, b in chunks([len(t) for t in pdf["text"]], 1 << 21):
+            for a, b in chunks([len(t) for t in pdf["text"]], 1 << 20):
                 part = pdf.iloc[a:b]
                 ids = []
-                for t, words, found in zip(part["text"], part["rare"], part["rare_ids"]):
-                    own = {} if words is None else {w: np.asarray(i, np.int32).tobytes() for w, i in zip(words, found)}
-                    ids.append(lay(z.decompress(t).decode("utf-8", "surrogatepass"), own))
+                for t, found in zip(part["text"], part["rare"]):
+                    own = {} if found is None else {x["number"]: x["ids"] for x in found}
+                    out, _ = lay(z.decompress(t).decode("utf-8", "surrogatepass"))
+                    ids.append(np.frombuffer(b"".join([own[x] if type(x) is int else x for x in out] if own else out), np.int32))
                 yield pd.DataFrame({"doc_id": part["doc_id"], "ids": ids})
 
-    return packed.join(rare, "key", "left").select("doc_id", "text", "rare", "rare_ids").mapInPandas(fill, f"doc_id {kind}, ids array<int>")
+    return packed.join(rare, "key", "left").select("doc_id", "text", "rare").mapInPandas(fill, f"doc_id {kind}, ids array<int>")
+
+
+_ENCODER: list = []
+
+
+def _encoder(sent, special_ids: dict[str, bytes]) -> _Encoder:
+    """One a Python worker and broadcast, so that tasks share what it remembers."""
+    if not _ENCODER or _ENCODER[0] is not sent.value:
+        _ENCODER[:] = [sent.value, _Encoder(sent.value, special_ids)]
+    return _ENCODER[1]
 
 
 def pieces(path: str | None = None) -> list[bytes]:
