@@ -26,10 +26,10 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         after = written(small.where("u != v").distinct(), "edges")
         # nothing more to do when every node points at one node only and no target points on
-        twice = after.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
-        on = after.select(F.col("v").alias("u")).distinct().join(after.select("u").distinct(), "u", "left_semi")
+        ends = after.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))).alias("e"))
+        open_ = ends.groupBy("e.node").agg(F.sum("e.out").alias("out"), F.max("e.into").alias("into")).where("out > 1 or (out = 1 and into = 1)")
         edges = after
-        if twice.union(on).isEmpty():
+        if open_.isEmpty():
             break
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

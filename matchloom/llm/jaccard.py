@@ -9,16 +9,17 @@ hashes the n-grams are cut into fragments; a document is thereby cut into segmen
 3. Candidate pairs are verified by vertical partitions: each fragment counts the pair's overlap in its segments alone,
    and the partial overlaps are summed per pair.
 
-Documents that meet under an n-gram are first linked to their likeliest predecessors, so that a group of thousands of
-near copies becomes one component in few pairs. Only documents still in different components are then compared in
-full, all pairs that meet in a prefix, so no link between components is lost.
+Documents that meet under an n-gram are first tried against a hub, the one with the fewest n-grams of its own, so that a
+group of thousands of near copies becomes one component in as many pairs. What is still in different components is
+then paired in full, save pairs that cannot link by the places of their first common n-gram: had they an earlier one,
+they would meet there. So no link between components is lost.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import ask_counts, counts_in, fragments, make_blocks, texts_of, with_answers
@@ -26,7 +27,6 @@ from .common import Words, mix, shingles, table, written
 from .components import components
 
 N, NUMERATOR, DENOMINATOR = 5, 80, 100
-ROUNDS = 3
 
 
 def _sets(row, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -97,8 +97,14 @@ def _set_rows(row):
     return [(int(i), keys[e - k : e]) for i, e, k in zip(row.doc_ids, end, row.sizes)]
 
 
+POST_COLUMNS = ["key", "doc_id", "size", "place", "alone"]
+
+
 def _prefixes(survivors: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, doc_id, size): each survivor's rare-first prefix without the n-grams that no other survivor has."""
+    """(key, doc_id, size, place, alone): each survivor's rare-first prefix without the n-grams that no other survivor has.
+
+    place counts all its n-grams before this one in that order, alone those that no other has.
+    """
     bits = fragments(survivors, 1.0)
 
     def keys_of(row):
@@ -111,11 +117,11 @@ def _prefixes(survivors: DataFrame, num: int, den: int) -> DataFrame:
         for i, s in _set_rows(row):
             d = df[np.searchsorted(keys, s)]
             first = np.lexsort((s, d))[: _slack(len(s), num, den) + 1]
-            first = first[d[first] >= 2]
-            out.append(pd.DataFrame({"key": s[first].view(np.int64), "doc_id": i, "size": len(s)}))
-        return pd.concat(out) if out else pd.DataFrame({"key": [], "doc_id": [], "size": []}).astype("int64")
+            place = np.flatnonzero(d[first] >= 2)
+            out.append(pd.DataFrame({"key": s[first[place]].view(np.int64), "doc_id": i, "size": len(s), "place": place, "alone": int((d == 1).sum())}))
+        return pd.concat(out) if out else pd.DataFrame({k: [] for k in POST_COLUMNS}).astype("int64")
 
-    return with_answers(survivors, ask_counts(survivors, keys_of, bits), use, "key long, doc_id long, size long")
+    return with_answers(survivors, ask_counts(survivors, keys_of, bits), use, ", ".join(f"{c} long" for c in POST_COLUMNS))
 
 
 def verified(pairs: DataFrame, survivors: DataFrame, num: int, den: int) -> DataFrame:
@@ -175,46 +181,38 @@ def verified(pairs: DataFrame, survivors: DataFrame, num: int, den: int) -> Data
     return counted.join(wanted, ["a", "b"]).where(den * F.col("both") >= num * (F.col("size_a") + F.col("size_b") - F.col("both"))).select("a", "b")
 
 
-def _fits(num: int, den: int):
-    return den * F.least("size_a", "size_b") >= num * F.greatest("size_a", "size_b")
+def _can_link(num: int, den: int):
+    """Whether sets that first meet at these places of their orders can link: what comes before is not common."""
+    most = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    return den * most >= num * (F.col("size_a") + F.col("size_b") - most)
 
 
-def class_links(blocks: DataFrame, classes: DataFrame, n: int, num: int, den: int, rounds: int = ROUNDS) -> DataFrame:
+def class_links(blocks: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(node, component) over representatives (classes.rep) that link with another one."""
-    spark = blocks.sparkSession
     survivors = _repeated_leading(blocks, n, num, den)
     reps = classes.select(F.col("rep").alias("doc_id"))
     posts = written(_prefixes(survivors, num, den).join(reps, "doc_id", "left_semi").distinct(), "prefixes")
-    labels = spark.createDataFrame([], "node long, component long")
-    links = spark.createDataFrame([], "a long, b long")
-    label_of = lambda p, at: p.join(at.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    for _ in range(rounds):
-        # each document's likeliest predecessor of another component: the one before it under most n-grams
-        near = Window.partitionBy("key").orderBy("size", "component", "doc_id")
-        before = label_of(posts, labels).select(
-            "doc_id", "size", "component", *(F.lag(c).over(near).alias(f"{c}_0") for c in ("doc_id", "size", "component"))
-        ).where("component_0 is not null and component_0 != component")
-        pairs = before.groupBy(F.col("doc_id_0").alias("a"), F.col("doc_id").alias("b"), F.col("size_0").alias("size_a"), F.col("size").alias("size_b")).agg(F.count(F.lit(1)).alias("n")).where(_fits(num, den))
-        best = pairs.groupBy("b").agg(F.max_by(F.struct("a", "size_a", "size_b"), F.struct("n", F.negative("a").alias("a"))).alias("x"))
-        pairs = written(best.select(F.col("x.a").alias("a"), "b", "x.size_a", "x.size_b"), "pairs")
-        if pairs.isEmpty():
-            break
-        found = written(verified(pairs, survivors, num, den), "links")
-        if found.isEmpty():
-            break
-        links = links.union(found)
-        labels = written(components(links), "labels")
-    # whatever meets in a prefix and is still apart is compared in full
-    side = label_of(posts, labels)
-    apart = side.groupBy("key").agg((F.min("component") != F.max("component")).alias("x")).where("x").select("key")
-    side = written(side.join(apart, "key", "left_semi"), "apart")
-    l, r = (side.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "size", "component"))) for x in ("a", "b"))
-    pairs = l.join(r, "key").where("doc_id_a < doc_id_b and component_a != component_b").where(_fits(num, den)).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), "size_a", "size_b").distinct()
-    pairs = written(pairs, "pairs")
-    if not pairs.isEmpty():
-        links = links.union(written(verified(pairs, survivors, num, den), "links"))
-        labels = written(components(links), "labels")
-    return labels
+    side = lambda d, x: d.select("key", *(F.col(c).alias(f"{c}_{x}") for c in d.columns if c != "key"))
+    # each document against the hub it meets most often
+    hub = posts.groupBy("key").agg(F.min_by(F.struct("doc_id", "size", "place"), F.struct(F.col("alone") / F.col("size"), "size", "doc_id")).alias("h")).select("key", "h.*")
+    met = side(posts.drop("alone"), "b").join(side(hub, "a"), "key").where("doc_id_a != doc_id_b").where(_can_link(num, den))
+    tried = met.groupBy("doc_id_a", "doc_id_b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("n"))
+    best = tried.groupBy("doc_id_b").agg(F.max_by(F.struct(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), "size_a", "size_b"), F.struct("n", F.negative("doc_id_a").alias("a"))).alias("x"))
+    links = written(verified(written(best.select("x.*"), "pairs"), survivors, num, den), "links")
+    labels = written(components(links), "labels")
+    # whatever meets in a prefix and is still apart: rows of an n-gram's smaller components against all of its rows
+    named = posts.drop("alone").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    split = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "largest")
+    apart = written(named.join(split, "key"), "apart")
+    x, y = side(apart.where("component != largest").drop("largest"), "a"), side(apart.drop("largest"), "b")
+    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("component_a") != F.col("component_b")) & _can_link(num, den))
+    low = F.col("doc_id_a") < F.col("doc_id_b")
+    pick = lambda c, first: F.when(low == first, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))
+    pairs = written(pairs.select(pick("doc_id", True).alias("a"), pick("doc_id", False).alias("b"), pick("size", True).alias("size_a"), pick("size", False).alias("size_b")).distinct(), "pairs")
+    if pairs.isEmpty():
+        return labels
+    return written(components(links.union(written(verified(pairs, survivors, num, den), "links"))), "labels")
 
 
 def jaccard_components(docs: DataFrame, n: int = N, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
