@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import chunks, table
 
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4, 5)
-#: The bound of the training sample, in documents and in words taken of all of them, and how it is trained.
-SAMPLE, EPOCHS, RATE, BATCH = 5000, 6, 0.5, 32
+#: The bound of the training sample in documents, the passes over it (more if they would make fewer than STEPS steps), and the rest of the training.
+SAMPLE, EPOCHS, STEPS, RATE, BATCH = 5000, 6, 900, 0.5, 32
 #: Documents that a bucket must occur in to get a vector (at least MIN_DOCS, and one in RARE of the sample), and the pull of vectors towards zero.
 MIN_DOCS, RARE, DECAY = 3, 300, 1e-3
 #: Averages are small beside single vectors; the classifier works on SCALE times the average.
@@ -89,9 +89,10 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model | None:
     w = rng.normal(0, 0.5, DIM)
     b = 0.0
     ge, gw, gb = np.full(BUCKETS, 1e-8), np.full(DIM, 1e-8), 1e-8
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, STEPS * BATCH // len(y))
+    for epoch in range(epochs):
         order = rng.permutation(len(y))
-        rate = RATE * (1 - epoch / EPOCHS)
+        rate = RATE * (1 - epoch / epochs)
         for a in range(0, len(order), BATCH):
             some = [i for i in order[a : a + BATCH] if len(bags[i][0])]
             if not some:
