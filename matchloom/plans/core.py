@@ -77,9 +77,9 @@ add("a19_histogram", lambda s, d: histogram(events(s, d), "k", [10, 25, 50, 75,
     "select item, edge, count(*) filter (k <= edge) as n from e, (select unnest([10, 25, 50, 75, 100]) as edge) group by item, edge", "e")
 add("a20_batch_yield", lambda s, d: (lambda g: g.withColumn("outcome", F.when(F.col("zero_share") == 0, "success").when(F.col("zero_share") == 1, "failed").otherwise("partial")))(
     matches(s, d).groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("result = 'win'")).alias("new"), F.avg(F.when(F.col("result") == "win", 0.0).otherwise(1.0)).alias("zero_share"),
-                                        F.percentile("own_rating", F.lit(0.5)).alias("p50"), F.percentile("own_rating", F.lit(0.9)).alias("p90"))),
+                                        F.round(F.percentile("own_rating", F.lit(0.5)), 4).alias("p50"), F.round(F.percentile("own_rating", F.lit(0.9)), 4).alias("p90"))),
     """select entity, count(*) as n, count(*) filter (result = 'win') as new, avg(case when result = 'win' then 0.0 else 1.0 end) as zero_share,
-quantile_cont(own_rating, 0.5) as p50, quantile_cont(own_rating, 0.9) as p90,
+round(quantile_cont(own_rating, 0.5), 4) as p50, round(quantile_cont(own_rating, 0.9), 4) as p90,
 case avg(case when result = 'win' then 0.0 else 1.0 end) when 0 then 'success' when 1 then 'failed' else 'partial' end as outcome from m group by entity""", "m")
 
 # --- B: expressions ---------------------------------------------------------------------------------------------

@@ -59,14 +59,15 @@ add("f18_mask_rows", lambda s, d: rosters(s, d).select("match_id", "item", F.whe
 
 # --- G: dimensions -------------------------------------------------------------------------------------------------
 
-add("g1_quantiles", lambda s, d: D.quantiles(matches(s, d), ["kind"], "own_rating", [0.1, 0.5, 0.9]),
-    "select kind, count(*) as n, quantile_cont(own_rating, 0.1) as p10, quantile_cont(own_rating, 0.5) as p50, quantile_cont(own_rating, 0.9) as p90 from m group by kind", "m")
+_round = lambda df: df.select(*[F.round(c, 4).alias(c) if t == "double" else c for c, t in df.dtypes])  # interpolation differs in the last bits
+add("g1_quantiles", lambda s, d: _round(D.quantiles(matches(s, d), ["kind"], "own_rating", [0.1, 0.5, 0.9])),
+    "select kind, count(*) as n, round(quantile_cont(own_rating, 0.1), 4) as p10, round(quantile_cont(own_rating, 0.5), 4) as p50, round(quantile_cont(own_rating, 0.9), 4) as p90 from m group by kind", "m")
 _H = "select entity, min(ts) as first_ts, max(ts) as last_ts, arg_max(kind, (ts, match_id)) as name, count(*) as n, bool_or(result = 'win') as ever_won, max(match_id) as mark from m group by entity"
 add("g2_harvest_incremental", lambda s, d: (lambda m: D.merge_harvest(D.harvest(m.where("match_id % 2 = 0")), D.harvest(m.where("match_id % 2 = 1"))).drop("last_at"))(matches(s, d)), _H, "m")
 add("g3_group_measures", lambda s, d: table(s, d, "customer").groupBy("c_nationkey").agg(F.max("c_acctbal").alias("top"), F.round(F.avg("c_acctbal"), 4).alias("mean"), F.percentile("c_acctbal", F.lit(0.5)).alias("median"), F.count_if(F.col("c_acctbal") >= 5000).alias("over"), F.max_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("best")),
     "select c_nationkey, max(c_acctbal) as top, round(avg(c_acctbal), 4) as mean, quantile_cont(c_acctbal, 0.5) as median, count(*) filter (c_acctbal >= 5000) as over, arg_max(c_custkey, (c_acctbal, c_custkey)) as best from customer group by 1")
-add("g4_level_reference", lambda s, d: D.quantiles(matches(s, d).join(rosters(s, d).groupBy("match_id").agg(F.max("cost").alias("level")), "match_id"), ["level"], "own_rating", [0.1, 0.5]),
-    "select level, count(*) as n, quantile_cont(own_rating, 0.1) as p10, quantile_cont(own_rating, 0.5) as p50 from m join (select match_id, max(cost) as level from r group by 1) using (match_id) group by level", "mr")
+add("g4_level_reference", lambda s, d: _round(D.quantiles(matches(s, d).join(rosters(s, d).groupBy("match_id").agg(F.max("cost").alias("level")), "match_id"), ["level"], "own_rating", [0.1, 0.5])),
+    "select level, count(*) as n, round(quantile_cont(own_rating, 0.1), 4) as p10, round(quantile_cont(own_rating, 0.5), 4) as p50 from m join (select match_id, max(cost) as level from r group by 1) using (match_id) group by level", "mr")
 add("g5_top_level", lambda s, d: matches(s, d).join(rosters(s, d), "match_id").groupBy("entity").agg(F.max(X.displayed_level("cost", F.lit(9), 15)).alias("level")), "select entity, max(cost + 6) as level from m join r using (match_id) group by 1", "mr")
 add("g6_player_dim", lambda s, d: matches(s, d).groupBy(F.col("opponent").alias("entity")).agg(F.count_if(F.expr("result = 'loss'")).alias("wins"), F.count_if(F.expr("result = 'win'")).alias("losses"), F.min("match_id").alias("first"), F.max_by("kind", F.struct("ts", "match_id")).alias("last_kind"), (F.max("opp_rating") - F.percentile("opp_rating", F.lit(0.5))).alias("gap")),
     "select opponent as entity, count(*) filter (result = 'loss') as wins, count(*) filter (result = 'win') as losses, min(match_id) as first, arg_max(kind, (ts, match_id)) as last_kind, max(opp_rating) - quantile_cont(opp_rating, 0.5) as gap from m group by 1", "m")
