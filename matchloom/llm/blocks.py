@@ -24,12 +24,14 @@ BLOCK_BYTES, FRAGMENT_BYTES = 1 << 22, 1 << 24
 BLOCK_SCHEMA = "block long, doc_ids array<long>, sizes array<int>, raw long, texts binary"
 
 
-def make_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def make_blocks(docs: DataFrame, block_bytes: int | None = None) -> DataFrame:
     """docs(doc_id, text) as written blocks (block, doc_ids, sizes, raw, texts), texts compressed.
 
     Null texts count as empty. Rows whose doc_id is null are left out. Other columns are not read.
     """
 
+    block_bytes = block_bytes or BLOCK_BYTES
+
     def run(batches):
         z, ids, texts, total, k = zstandard.ZstdCompressor(3), [], [], 0, 0
         part = TaskContext.get().partitionId()

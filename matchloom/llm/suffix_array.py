@@ -20,6 +20,8 @@ from .common import _BYTE, _powers, mix, table, written
 
 WIDTH, GRAM = 100, 40
 SHARD_BYTES = 1 << 21
+#: Rolling hashes take some hundred bytes of memory a byte of a block.
+BYTES_PER_BLOCK = 1 << 20
 
 
 # --- induced sorting -------------------------------------------------------------------------------------------------
@@ -362,7 +364,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     Earlier is a smaller doc_id, among rows that repeat a doc_id the one read first, within a document the earlier start. Null and
     empty texts and texts shorter than `width` lose nothing. Rows without a doc_id are left out; other columns are not read.
     """
-    blocks = make_blocks(docs)
+    blocks = make_blocks(docs, BYTES_PER_BLOCK)
     spans = repeated_spans(blocks, width, gram)
 
     def use(left, right):
