@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, written
 
-BLOCK_BYTES, FRAGMENT_BYTES = 1 << 22, 1 << 24
+BLOCK_BYTES, FRAGMENT_BYTES = 1 << 21, 1 << 24
 BLOCK_SCHEMA = "block long, doc_ids array<long>, sizes array<int>, raw long, texts binary"
 
 
