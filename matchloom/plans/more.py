@@ -155,3 +155,27 @@ add("j17_percentile_vs_controls", lambda s, d: table(s, d, "embeddings").select(
     "select vec_id, round((rank() over (partition by label order by embedding[1]) - 1) / count(*) over (partition by label), 6) as percentile from embeddings")
 add("j22_select_cohort", lambda s, d: (lambda c: c.join(matches(s, d).groupBy("entity").agg(F.count_distinct("kind").alias("kinds")).where("kinds >= 4"), "entity", "left_semi"))(matches(s, d).groupBy("entity", "kind").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")),
     "select entity, kind, count(*) as n from m where entity in (select entity from m group by 1 having count(distinct kind) >= 4) group by 1, 2 having count(*) >= 2", "m")
+
+
+def participation_ratio(v: DataFrame) -> DataFrame:
+    """Squared trace of the covariance over its squared norm, from sums per pair of dimensions that each task pre-aggregates."""
+    pairs = v.select(F.posexplode("embedding").alias("i", "x"), "embedding").select("i", F.col("x").cast("double").alias("x"), F.posexplode("embedding").alias("j", "y"))
+    cov = pairs.groupBy("i", "j").agg(F.covar_pop("x", F.col("y").cast("double")).alias("c"))
+    trace = F.sum(F.when(F.col("i") == F.col("j"), F.col("c")))
+    return cov.agg(F.round(trace * trace / F.sum(F.col("c") * F.col("c")), 3).alias("ratio"))
+
+
+add("j21_participation_ratio", lambda s, d: participation_ratio(table(s, d, "embeddings")),
+    """with a as (select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings),
+c as (select a.i as i, b.i as j, covar_pop(a.x, b.x) as c from a join a b using (vec_id) group by 1, 2)
+select round(pow(sum(c) filter (i = j), 2) / sum(c * c), 3) as ratio from c""")
+
+
+def distant_subset(e: DataFrame, least: int) -> DataFrame:
+    """Per match the events, in order, that lie at least `least` ticks from all kept before; a fold over the match's own sorted array."""
+    ticks = F.array_sort(F.collect_list("tick"))
+    keep = F.aggregate(ticks, F.array().cast("array<int>"), lambda acc, x: F.when(F.forall(acc, lambda y: F.abs(x - y) >= least), F.concat(acc, F.array(x))).otherwise(acc))
+    return e.groupBy("match_id").agg(keep.alias("kept")).select("match_id", F.size("kept").alias("n"), F.array_join(F.transform("kept", lambda x: x.cast("string")), ",").alias("kept"))
+
+
+add("j20_distant_subset", lambda s, d: distant_subset(events(s, d), 500))
