@@ -61,13 +61,13 @@ _POW: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base^i and base^-i modulo 2^64 for i < n."""
     if len(_POW.get("p", ())) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = -(-n // 65536) * 65536
         inverse = pow(_BASE, -1, 1 << 64)
         for key, b in (("p", _BASE), ("q", inverse)):
             out = np.ones(size, dtype=np.uint64)
             k = 1
             while k < size:
-                out[k : 2 * k] = out[:k] * np.uint64(pow(b, k, 1 << 64))
+                out[k : 2 * k] = out[: min(k, size - k)] * np.uint64(pow(b, k, 1 << 64))
                 k *= 2
             _POW[key] = out
     return _POW["p"][:n], _POW["q"][:n]

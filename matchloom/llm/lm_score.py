@@ -15,7 +15,7 @@ from .blocks import ask_counts, counts_in, fragments, make_blocks, texts_of, wit
 from .common import Words, mix, table
 
 ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
-LM_BLOCK_BYTES = 1 << 23
+LM_BLOCK_BYTES = 6 << 20
 #: The key under which blocks sum their words.
 TOTAL = np.uint64(0)
 
