@@ -22,11 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import ask_counts, counts_in, fragments, make_blocks, texts_of, with_answers
+from .blocks import FRAGMENT_BYTES, ask_counts, counts_in, fragments, make_blocks, texts_of, with_answers
 from .common import Words, mix, shingles, table, written
 from .components import components
 
 N, NUMERATOR, DENOMINATOR = 5, 80, 100
+#: Parts of the n-gram order that a pair's overlap is counted in, a power of two.
+FRAGMENTS = 8
 
 
 def _sets(row, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -125,26 +127,30 @@ def _prefixes(survivors: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, survivors: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets link: partial overlaps by fragment, summed per pair. survivors holds the sets, once each document."""
-    bits = fragments(survivors, 1.0)
+    """The pairs (a, b) whose sets link: partial overlaps by fragment, summed per pair. survivors holds the sets.
+
+    Pairs are dealt to groups by b, and a document's segments go once to each group that asks for it, so a hub of very many pairs is
+    spread and what moves grows with the pairs. Groups grow in number with the sets; FRAGMENTS parts of the order are counted apart.
+    """
+    total = survivors.agg(F.sum("raw")).first()[0] or 0  # one number
+    groups = int(max(1, total // FRAGMENT_BYTES))
+    shift = np.uint64(64 - FRAGMENTS.bit_length() + 1)
 
     def cut(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                keys = np.frombuffer(row.texts, np.uint64)
-                doc = np.repeat(np.asarray(row.doc_ids, np.int64), row.sizes)
-                frag = (keys >> np.uint64(64 - bits)).astype(np.int32)
-                order = np.argsort(frag, kind="stable")
-                edge = np.searchsorted(frag[order], np.arange((1 << bits) + 1))
-                out = [(f, keys[o].tobytes(), doc[o].tobytes()) for f in range(1 << bits) for o in [order[edge[f] : edge[f + 1]]] if len(o)]
-                yield pd.DataFrame(out, columns=["frag", "keys", "docs"])
+                out = []
+                for i, s in _set_rows(row):
+                    edge = np.searchsorted((s >> shift).astype(np.int64), np.arange(FRAGMENTS + 1))
+                    out += [(i, f, s[edge[f] : edge[f + 1]].tobytes()) for f in range(FRAGMENTS) if edge[f] < edge[f + 1]]
+                yield pd.DataFrame(out, columns=["doc", "frag", "keys"])
 
     def count(left, right):
         none = pd.DataFrame({"a": [], "b": [], "part": []}).astype("int64")
         if not len(left) or not len(right):
             return none
         keys = np.concatenate([np.frombuffer(k, np.uint64) for k in left["keys"]])
-        docs = np.concatenate([np.frombuffer(d, np.int64) for d in left["docs"]])
+        docs = np.repeat(left["doc"].to_numpy(np.int64), [len(k) // 8 for k in left["keys"]])
         order = np.lexsort((keys, docs))
         keys, docs = keys[order], docs[order]
         once = np.ones(len(keys), bool)  # rows may repeat
@@ -175,9 +181,11 @@ def verified(pairs: DataFrame, survivors: DataFrame, num: int, den: int) -> Data
         return pd.DataFrame({"a": a, "b": b, "part": total})[total > 0]
 
     wanted = pairs.select("a", "b", "size_a", "size_b")
-    every = wanted.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit((1 << bits) - 1))).alias("frag"))
-    parts = survivors.mapInPandas(cut, "frag int, keys binary, docs binary")
-    counted = parts.groupBy("frag").cogroup(every.groupBy("frag")).applyInPandas(count, "a long, b long, part long").groupBy("a", "b").agg(F.sum("part").alias("both"))
+    dealt = wanted.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(groups)).alias("group"))
+    every = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("frag"))
+    asked = dealt.select(F.explode(F.array("a", "b")).alias("doc"), F.col("group").alias("asker")).distinct()
+    parts = survivors.mapInPandas(cut, "doc long, frag int, keys binary").join(asked, "doc")
+    counted = parts.groupBy("asker", "frag").cogroup(every.groupBy("group", "frag")).applyInPandas(count, "a long, b long, part long").groupBy("a", "b").agg(F.sum("part").alias("both"))
     return counted.join(wanted, ["a", "b"]).where(den * F.col("both") >= num * (F.col("size_a") + F.col("size_b") - F.col("both"))).select("a", "b")
 
 
