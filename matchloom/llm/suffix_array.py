@@ -231,6 +231,7 @@ class Strings:
             k = np.minimum(lo + j, len(sel) - 1)
             times += (lo + j < hi) & (h[sel[k]] == self.key)
         self.sure = (times <= 1) & (hi - lo <= 12)
+        self.key = mix(self.key)  # smallest hashes are small: mixed again they spread over the fragments
 
     def text(self, i: int) -> bytes:
         o = self.offset[self.doc[i]]
