@@ -132,6 +132,61 @@ def test_passages_found_and_cut(docs, texts):
     assert all(len(cut[2 * 10**6 + k].split()) <= 62 for k in range(10))
 
 
+def uncovered_runs(texts, spans, words=50):
+    """(doc_id, place) of the runs of words that occur in an earlier document and lie in no span."""
+    kept, lost, first = defaultdict(list), [], {}
+    for r in spans.collect():
+        kept[r.doc_id].append((r.start_word, r.start_word + r.n_words))
+    for d in sorted(texts):
+        w = texts[d].lower().split()
+        for i in range(len(w) - words + 1):
+            run = tuple(w[i : i + words])
+            if first.setdefault(run, d) != d and not any(a <= i and i + words <= b for a, b in kept[d]):
+                lost.append((d, i))
+    return lost
+
+
+@pytest.mark.parametrize("apart", [16, 20, 24])
+def test_passages_side_by_side(spark, apart):
+    """Two exact passages that lie apart in the earlier text and side by side in the later one."""
+    rnd = random.Random(apart)
+    fresh = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    texts = {}
+    for d in range(20):
+        x, y = fresh(50 + 5 * (d % 3)), fresh(50 + 5 * (d % 3))
+        texts[d] = fresh(30) + x + fresh(apart) + y + fresh(30)
+        texts[100 + d] = fresh(30) + x + y + fresh(30)
+    texts = {d: " ".join(w) for d, w in texts.items()}
+    spans = substring.near_duplicate_passages(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string"))
+    assert not uncovered_runs(texts, spans)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_matches_with_insertions_on_one_side(seed):
+    """Whatever pair of stretches brute force finds at the bound overlaps a match, whichever side is the longer one."""
+    rnd = random.Random(seed)
+    word = lambda: rnd.randrange(1, 2**31)
+    width, base = 46, [word() for _ in range(48)]
+    long = list(base)
+    for k in range(11):
+        long.insert(4 * k + 3, word())
+    noise = lambda: [word() for _ in range(20)]
+    short = np.array(noise() + base + noise(), np.uint32)
+    long = np.array(noise() + long + noise(), np.uint32)
+    for mine, theirs in ((short, long), (long, short), (short, short)):
+        best = 0.0
+        for i in range(len(mine) - width + 1):
+            for e in range(i + width, len(mine) + 1, 1):
+                p = set(mine[i:e].tolist())
+                where = [k for k, x in enumerate(theirs.tolist()) if x in p]
+                if where and where[-1] + 1 - where[0] >= width:
+                    q = set(theirs[where[0] : where[-1] + 1].tolist())
+                    best = max(best, len(p & q) / len(p | q))
+        got = substring.matches(mine, theirs, width, 80, 100)
+        assert bool(got) == (best >= 0.8)
+        assert all(e - i >= width and b - a >= width and j >= 0.8 for i, e, a, b, j in got)
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_lm_scores(docs, texts, order):
     words = {d: [w.decode() for w in t.encode().lower().split()] for d, t in texts.items()}
