@@ -146,6 +146,21 @@ def uncovered_runs(texts, spans, words=50):
     return lost
 
 
+def test_passages_among_hot_phrases(spark):
+    """Exact passages whose smallest n-grams are mostly phrases that all documents have; the partner is neither first nor last."""
+    rnd = random.Random(8)
+    phrase = [f"hot{k}" for k in range(16)]
+    fresh = lambda n: [x for _ in range(n) for x in phrase + [f"w{rnd.randrange(10**9)}" for _ in range(6)]]
+    texts = {d: fresh(6) for d in range(150)}
+    for d in range(60, 140):
+        at = rnd.randrange(60)
+        texts[d][40:95] = texts[d - 50][at : at + 55]
+    texts = {d: " ".join(w) for d, w in texts.items()}
+    spans = substring.near_duplicate_passages(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(5))
+    assert not uncovered_runs(texts, spans)
+    assert all(r.doc_id in range(60, 140) for r in spans.collect())
+
+
 @pytest.mark.parametrize("apart", [16, 20, 24])
 def test_passages_side_by_side(spark, apart):
     """Two exact passages that lie apart in the earlier text and side by side in the later one."""
