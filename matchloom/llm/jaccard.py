@@ -17,6 +17,8 @@ they would meet there. So no link between components is lost.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +50,24 @@ def _slack(size: int, num: int, den: int) -> int:
     return size - -(-num * size // den)
 
 
+def _lead(size: int, num: int, den: int) -> int:
+    """n-grams of the leading part of a set of this size."""
+    return min(size, 2 * _slack(size, num, den) + 1)
+
+
+@cache
+def _least_repeated(size: int, num: int, den: int) -> int:
+    """Common n-grams that the leading parts of a set of this size and of any partner have in common at least.
+
+    Of sets of m and k n-grams, o of them common, the j-th common one is at most the (m - o + j)-th of one and the (k - o + j)-th of the other.
+    """
+    k = np.arange(max(1, -(-num * size // den)), size * den // num + 1)
+    both = -(-num * (size + k) // (num + den))
+    k, both = k[both <= np.minimum(size, k)], both[both <= np.minimum(size, k)]
+    lead = np.minimum(k, 2 * (k - -(-num * k // den)) + 1)
+    return int(np.minimum(_lead(size, num, den) - (size - both), lead - (k - both)).min())
+
+
 def signatures(blocks: DataFrame, n: int) -> DataFrame:
     """(doc_id, n_shingles, sig_a, sig_b): 128 bits that are equal for equal sets."""
 
@@ -64,7 +84,7 @@ def signatures(blocks: DataFrame, n: int) -> DataFrame:
 
 def _repeated_leading(blocks: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(block, doc_ids, sizes, raw, texts): the sets, as bytes, of documents that can have a partner at all."""
-    lead = lambda s: s[: min(len(s), 2 * _slack(len(s), num, den) + 1)]
+    lead = lambda s: s[: _lead(len(s), num, den)]
     bits = fragments(blocks, 0.6)
 
     def keys_of(row):
@@ -83,7 +103,7 @@ def _repeated_leading(blocks: DataFrame, n: int, num: int, den: int) -> DataFram
                 continue
             at = np.searchsorted(repeated, head)
             hits = int((repeated[np.minimum(at, len(repeated) - 1)] == head).sum()) if len(repeated) else 0
-            if hits >= len(head) - _slack(len(s), num, den):
+            if hits >= _least_repeated(len(s), num, den):
                 own.append(i)
                 kept.append(s)
         raw = b"".join(s.tobytes() for s in kept)

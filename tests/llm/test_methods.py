@@ -202,6 +202,27 @@ def test_matches_with_insertions_on_one_side(seed):
         assert all(e - i >= width and b - a >= width and j >= 0.8 for i, e, a, b, j in got)
 
 
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (1, 2), (9, 10)])
+def test_first_filter_keeps_all_that_can_link(num, den):
+    """For all small sizes and overlaps at the bound, what both leading parts share where common n-grams come last."""
+    for m in range(1, 120):
+        for k in range(1, 120):
+            for both in range(1, min(m, k) + 1):
+                if den * both >= num * (m + k - both):
+                    shared = min(both, jaccard._lead(m, num, den) - (m - both), jaccard._lead(k, num, den) - (k - both))
+                    assert shared >= jaccard._least_repeated(m, num, den)
+
+
+def test_nine_and_eight_words_link(spark):
+    rnd = random.Random(9)
+    texts = {}
+    for d in range(40):
+        w = [f"w{rnd.randrange(10**9)}" for _ in range(9)]
+        texts[d], texts[100 + d] = " ".join(w), " ".join(w[:8] if d % 2 else w[1:])
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {d: d % 100 for d in texts}
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_lm_scores(docs, texts, order):
     words = {d: [w.decode() for w in t.encode().lower().split()] for d, t in texts.items()}
