@@ -113,9 +113,9 @@ def ask_counts(blocks: DataFrame, keys_of: Callable, bits: int) -> DataFrame:
         every = np.concatenate(keys)
         counts = np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["counts"]]).astype(np.float64)
         _, where = np.unique(every, return_inverse=True)
-        total = np.minimum(np.bincount(where, weights=counts)[where], 2**32 - 1).astype(np.uint32)
+        total = np.bincount(where, weights=counts)[where].astype(np.uint64)  # exact below 2^53
         end = np.cumsum([len(k) for k in keys])
-        return pd.DataFrame({"block": pdf["block"], "frag": pdf["frag"], "counts": [total[e - len(k) : e].tobytes() for k, e in zip(keys, end)]})
+        return pd.DataFrame({"block": pdf["block"], "frag": pdf["frag"], "counts": [total[e - len(k) : e].view(np.uint8).reshape(-1, 8).T.tobytes() for k, e in zip(keys, end)]})
 
     asked = blocks.mapInPandas(ask, "frag int, block long, keys binary, counts binary")
     return asked.groupBy("frag").applyInPandas(answer, "block long, frag int, counts binary")
@@ -134,4 +134,5 @@ def with_answers(blocks: DataFrame, answers: DataFrame, use: Callable, schema: s
 
 def counts_in(right: pd.DataFrame) -> np.ndarray:
     """The answered counts of a block's keys, in the order of its sorted keys."""
-    return np.frombuffer(b"".join(right["counts"]), np.uint32)
+    planes = [np.frombuffer(b, np.uint8).reshape(8, -1).T for b in right["counts"]]  # byte plane by byte plane, as most are zero
+    return np.ascontiguousarray(np.concatenate(planes)).view(np.uint64).ravel() if planes else np.zeros(0, np.uint64)

@@ -294,3 +294,14 @@ def test_pipeline_stages(spark, texts):
     cut = P.cut_passages(spark, single, DATA)
     assert cut.columns == names and ids(cut) == ids(single)
     assert P.pack_sequences(spark, cut, DATA).count() >= cut.count()
+
+
+def test_corpus_sums_beyond_32_bits(docs):
+    """Sums of counts go on growing where 32 bits end."""
+    few = blocks.make_blocks(docs.limit(200), 1 << 14)
+    n = few.count()
+    keys = np.array([0, 5, 2**63], np.uint64)
+    ask = lambda row: (keys, np.array([3 * 10**9, 1, 2], np.int64))
+    use = lambda row, right: blocks.pd.DataFrame({"counts": [blocks.counts_in(right.sort_values("frag")).astype(np.int64)]})
+    got = blocks.with_answers(few, blocks.ask_counts(few, ask, 2), use, "counts array<long>").collect()
+    assert n > 1 and all(list(r.counts) == [3 * 10**9 * n, n, 2 * n] for r in got)
