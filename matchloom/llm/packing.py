@@ -1,14 +1,16 @@
 """Packing documents into training sequences by lexical retrieval.
 
-Documents are tokenised and dealt to shards of about SHARD_TOKENS tokens by a hash of their id, so shards are even
-whatever the ids or texts are. Each shard holds a BM25 inverted index over its documents' token ids. A seed document
-starts a window; what the window still lacks is filled greedily with the seed's best-scoring unused neighbours. The
-document that crosses the window's end is cut there and its rest seeds the next window, so that every window but a
-shard's last one is full. The number of shards grows with the corpus and their size does not.
+Documents are tokenised and dealt to shards of about SHARD_TOKENS tokens by content: the smallest hash of their pairs of
+neighbouring ids, which copies have in common and related texts often. A content of more tokens than half a shard is
+salted by row, so shards are bounded whatever the texts are. Each shard holds a BM25 inverted index over its documents'
+token ids. A seed document starts a window; what the window still lacks is filled greedily with the seed's best-scoring
+unused neighbours. The document that crosses the window's end is cut there and its rest seeds the next window, so that
+every window but a shard's last one is full. The number of shards grows with the corpus and their size does not.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 
@@ -16,68 +18,95 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
-from .common import table, written
+from .common import mix, table, written
 
 TOKENIZER, END = "word_bpe_49k.json", 2
 WINDOW, SHARD_TOKENS = 4096, 1 << 21
-K1, B = 1.2, 0.75
-#: The terms of a seed that are looked up are its heaviest in BM25 weight; how many is a parameter of retrieval.
-QUERY_TERMS = 64
-#: Neighbours kept for a seed; when all are used the next document in order is a new seed.
-NEIGHBOURS = 256
+#: BM25's saturation of term counts in documents and in the seed, and its share of length normalisation.
+K1, K3, B = 1.2, 8.0, 0.75
 
 
 class _Tokens:
-    """Token ids of whole texts. White space always parts words, so each word is encoded once and remembered."""
+    """Token ids of whole texts. White space always parts words, so each string between white space is encoded once and remembered.
 
-    LIMIT = 250_000
+    Texts are normalised as the tokenizer does, punctuation at the end of a word is parted, and new strings are cut into words by the
+    tokenizer's pattern; the words go to its model in one call. Strings with characters that Python does not know go to the tokenizer.
+    """
+
+    LIMIT = 1_000_000
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    TAIL = re.compile(r"(?<=[^\W_])([.,;:!?])(?!\S)")
 
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        #: The model alone, for words that are cut already; a word's last piece says that it is the last one.
+        self.model = Tokenizer(self.tok.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        self.last = np.zeros(self.tok.get_vocab_size(), bool)
+        self.last[[i for piece, i in self.tok.get_vocab(with_added_tokens=False).items() if piece.endswith("</w>")]] = True
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        #: The model takes bytes as printable stand-ins.
         self.stands = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
         self.memo: dict[str, bytes] = {}
-        #: Texts with these go to the tokenizer whole: special tokens, separators that only Python takes as white space, capital sigma.
-        self.odd = [t.content for t in self.tok.get_added_tokens_decoder().values()] + ["\x1c", "\x1d", "\x1e", "\x1f", "Σ"]
-
-    def learn(self, words: set[str]) -> None:
-        tokenize, stands = self.tok.model.tokenize, self.stands
-        for w in words:
-            # the model takes bytes as printable stand-ins
-            b = w if w.isascii() else w.encode().decode("latin-1").translate(stands)
-            self.memo[w] = np.array([t.id for t in tokenize(b)], "<u4").tobytes()
-
-    def words(self, text: str) -> list[str]:
-        out: list[str] = []
-        for x in unicodedata.normalize("NFC", text).lower().split():
-            if x.isalpha():
-                out.append(x)
-            elif x[-1] in ".,;:!?" and x[:-1].isalpha():
-                out += (x[:-1], x[-1])
-            else:
-                out += self.PATTERN.findall(x)
-        return out
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """ids as little-endian uint32."""
-        parts = [None if any(o in t for o in self.odd) else self.words(t) for t in texts]
+        #: Texts with these go to the tokenizer whole: special tokens, and separators that only Python takes as white space.
+        self.odd = [t.content for t in self.tok.get_added_tokens_decoder().values()] + ["\x1c", "\x1d", "\x1e", "\x1f"]
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def strings(self, text: str) -> list[str] | None:
+        if any(o in text for o in self.odd):
+            return None
+        if text.isascii():
+            low = text.lower()
+        else:  # of sigmas the tokenizer knows one lower case alone
+            low = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+        return self.TAIL.sub(r" \1", low).split()
+
+    def learn_words(self, words: list[str]) -> None:
+        plain = " ".join(words)
+        if not (plain.isascii() and plain.isprintable()):
+            plain = plain.encode().decode("latin-1").translate({**self.stands, 0x20: 0x20})
+        ids = np.array(self.model.encode_batch_fast([plain], add_special_tokens=False)[0].ids, "<u4")
+        end = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+        raw, memo, a = ids.tobytes(), self.memo, 0
+        for w, b in zip(words, end, strict=True):
+            memo[w] = raw[a:b]
+            a = b
+
+    def learn(self, strings: set[str]) -> None:
         memo = self.memo
-        if len(memo) > self.LIMIT:
-            memo.clear()
-        new = {w for p in parts if p for w in p if w not in memo}
-        if new:
-            self.learn(new)
+        odd = {x for x in strings if not x.isascii() and not {*map(unicodedata.category, x)}.isdisjoint(("Cn", "Cs"))}
+        cut = [(x, self.PATTERN.findall(x)) for x in strings - odd if not x.isalpha()]
+        words = {x for x in strings - odd if x.isalpha()} | {w for _, found in cut for w in found if w not in memo}
+        if words:
+            self.learn_words(list(words))
+        for x, found in cut:
+            memo[x] = b"".join([memo[w] for w in found])
+        for x in odd:
+            memo[x] = self.whole(x)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """ids as little-endian uint32."""
+        if len(self.memo) > self.LIMIT:
+            self.memo.clear()
+        get = self.memo.get
+        parts = [self.strings(t) for t in texts]
+        found = [None if p is None else list(map(get, p)) for p in parts]
+        self.learn({x for p, f in zip(parts, found) if f for x, y in zip(p, f) if y is None})
         out = []
-        for t, p in zip(texts, parts):
-            raw = b"".join(map(memo.__getitem__, p)) if p is not None else np.asarray(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-            out.append(np.frombuffer(raw, "<u4"))
+        for t, p, f in zip(texts, parts, found):
+            if f and None in f:
+                f = [get(x) if y is None else y for x, y in zip(p, f)]
+            out.append(self.whole(t) if f is None else b"".join(f))
         return out
 
 
@@ -92,37 +121,33 @@ def _tokens(path: str) -> _Tokens:
 
 
 class _Index:
-    """BM25 over one shard's documents, as postings in arrays."""
+    """BM25 over one shard's documents, as postings in arrays. Terms of one document alone have no posting: they find only itself."""
 
     def __init__(self, docs: list[np.ndarray]):
         self.n = len(docs)
         size = np.array([len(d) for d in docs], float)
         norm = K1 * (1 - B + B * size / max(size.mean(), 1))
-        terms, rows, tf = [], [], []
-        for i, d in enumerate(docs):
-            t, c = np.unique(d, return_counts=True)
-            terms.append(t)
-            tf.append(c)
-            rows.append(np.full(len(t), i, np.int32))
-        self.terms = terms
-        term, row, tf = np.concatenate(terms), np.concatenate(rows), np.concatenate(tf)
-        order = np.argsort(term, kind="stable")
-        term, self.row, tf = term[order], row[order], tf[order]
-        self.keys, first, df = np.unique(term, return_index=True, return_counts=True)
-        self.first = np.append(first, len(term))
-        self.idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        self.weight = (np.repeat(self.idf, df) * tf * (K1 + 1) / (tf + norm[self.row])).astype(np.float32)
+        row = np.repeat(np.arange(self.n), size.astype(np.int64))
+        pair, tf = np.unique(np.concatenate(docs).astype(np.int64) * self.n + row, return_counts=True)
+        term, row = pair // self.n, pair % self.n
+        keys, df = np.unique(term, return_counts=True)
+        several = np.repeat(df > 1, df)
+        term, self.row, tf, keys, df = term[several], row[several], tf[several], keys[df > 1], df[df > 1]
+        self.first = np.concatenate(([0], np.cumsum(df)))
+        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
+        self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.row])
+        # the terms of each document, and how much they count in it as a seed
+        number = np.repeat(np.arange(len(keys)), df)
+        by = np.argsort(self.row, kind="stable")
+        self.terms, self.times = number[by], (tf * (K3 + 1) / (tf + K3))[by]
+        self.of = np.searchsorted(self.row[by], np.arange(self.n + 1))
 
     def scores(self, i: int) -> np.ndarray:
-        """Of all documents for document i as the query."""
-        at = np.searchsorted(self.keys, self.terms[i])
-        if len(at) > QUERY_TERMS:
-            at = at[np.argsort(-self.idf[at], kind="stable")[:QUERY_TERMS]]
-        out = np.zeros(self.n, np.float32)
-        for k in at:
-            a, b = self.first[k], self.first[k + 1]
-            out[self.row[a:b]] += self.weight[a:b]
-        return out
+        """Of all documents for document i as the query, over all its terms."""
+        t, times = self.terms[self.of[i] : self.of[i + 1]], self.times[self.of[i] : self.of[i + 1]]
+        size = self.first[t + 1] - self.first[t]
+        at = np.repeat(self.first[t] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.bincount(self.row[at], weights=self.weight[at] * np.repeat(times, size), minlength=self.n)
 
 
 def _fill(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
@@ -158,22 +183,45 @@ def _fill(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int,
             i = begin
         if place(i) or not queue:
             score = np.where(unused, index.scores(i), -1)
-            best = np.argsort(-score, kind="stable")[:NEIGHBOURS]
+            best = np.argsort(-score, kind="stable")
             queue = [int(k) for k in best[::-1] if score[k] > 0]
 
 
+def _content(ids: np.ndarray) -> int:
+    """The smallest hash of the pairs of neighbouring ids; of the only id, if there is one alone."""
+    pairs = ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:] if len(ids) > 1 else ids.astype(np.uint64)
+    return int(mix(mix(pairs).min(keepdims=True)).view(np.int64)[0])
+
+
 def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids binary): little-endian unsigned 32-bit ids of each whole text and the end id; null texts count as empty."""
+    """(doc_id, ids binary, content, row): little-endian unsigned 32-bit ids of each whole text and the end id; null texts count as empty.
+
+    content is equal for texts that are mostly equal; row numbers the rows once the result is written.
+    """
     path = path or public_tokenizers.path(TOKENIZER)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        tokens = _tokens(path)
+        tokens, row = _tokens(path), TaskContext.get().partitionId() << 40
         end = np.array([END], "<u4").tobytes()
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [x.tobytes() + end for x in tokens(list(pdf["text"]))]})
+            ids = [x + end for x in tokens(list(pdf["text"]))]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids, "content": [_content(np.frombuffer(x, "<u4")) for x in ids], "row": np.arange(row, row + len(pdf))})
+            row += len(pdf)
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select("doc_id", text.alias("text")).mapInPandas(run, f"doc_id {kind}, ids binary, content long, row long")
+
 
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInPandas(run, f"doc_id {kind}, ids binary")
+def _dealt(ids: DataFrame, shard_tokens: int) -> DataFrame:
+    """ids with shard and shards: by content, and contents of over half a shard also by row."""
+    tokens = (F.octet_length("ids") / 4).cast("long")
+    total = ids.agg(F.sum(tokens)).first()[0] or 0  # one number
+    shards = int(max(1, -(-total // shard_tokens)))
+    # fewer than two contents a shard can be that frequent
+    hot = ids.groupBy("content").agg(F.sum(tokens).alias("n")).where(F.col("n") > shard_tokens // 2).select("content", F.ceil(2 * F.col("n") / shard_tokens).alias("salts"))
+    salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("row"), "salts")).otherwise(0)
+    return ids.join(hot, "content", "left").select("doc_id", "ids", "row", F.pmod(F.xxhash64("content", salt), F.lit(shards)).alias("shard"), F.lit(shards).alias("shards"))
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -183,12 +231,10 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_t
     end id alone. Ties between neighbours go to the document first in the shard, which is sorted by doc_id and content.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    ids = written(tokenised(docs, path), "token-ids")
-    total = ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0  # one number
-    shards = max(1, -(-total // (4 * shard_tokens)))
+    dealt = _dealt(written(tokenised(docs, path), "token-ids"), shard_tokens)
 
     def run(key, pdf):
-        pdf = pdf.sort_values(["doc_id", "ids"], kind="stable", na_position="last").reset_index(drop=True)
+        pdf = pdf.sort_values(["doc_id", "ids", "row"], na_position="last").reset_index(drop=True)
         raw = list(pdf["ids"])
         got = _fill([np.frombuffer(x, "<u4") for x in raw], window)
         if not got:
@@ -209,7 +255,6 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard_t
         )
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-    dealt = ids.withColumn("shard", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "ids"), F.lit(shards))).withColumn("shards", F.lit(shards))
     return dealt.groupBy("shard", "shards").applyInPandas(run, schema)
 
 

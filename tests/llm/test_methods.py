@@ -65,6 +65,50 @@ def test_packing_lays_every_id_once(docs, texts):
         assert list(g["offset"]) == [0, *np.cumsum(g["length"])[:-1]] and g["length"].sum() <= 4096
 
 
+def test_packing_ids_of_odd_characters():
+    """Control characters, case pairs, marks that compose, characters newer than Python's tables, and random strings of all of them."""
+    path, rnd = public_tokenizers.path(packing.TOKENIZER), random.Random(1)
+    tok, ours = Tokenizer.from_file(path), packing._Tokens(path)
+    cases = [f"a{chr(c)}B {chr(c)}x" for c in [*range(0x600), *range(0x1E00, 0x2100), 0x1C89, 0xA7DC, 0x10D50, 0x1F642]]
+    cases += ["\u0391\u03a3 \u03a3\u0391\u03a3.", "\u00e9t\u0301 \u0301x", "x\u00a0y\u3000z ... a.. b. it's. <|endoftext|>."]
+    pool = [*map(chr, range(0x250)), *map(chr, range(0x370, 0x400)), *"\u0301\u1100\u1161\u11a8\uac00\ua7dc\U00010d50\u2028\u200b", *" " * 60, *"abcdeST'.,!" * 6]
+    cases += ["".join(rnd.choices(pool, k=rnd.randint(0, 30))) for _ in range(3000)]
+    for _ in range(2):  # the second time from memory
+        assert [c for c, x in zip(cases, ours(cases)) if np.array(tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes() != x] == []
+
+
+def test_packing_scores_are_bm25():
+    rnd = random.Random(6)
+    docs = [np.array([rnd.randrange(40) for _ in range(rnd.randint(1, 60))] + [2], "<u4") for _ in range(30)] + [np.array([2], "<u4")]
+    index, n, mean = packing._Index(docs), len(docs), sum(map(len, docs)) / len(docs)
+    df = Counter(t for d in docs for t in set(d.tolist()))
+    for i, q in enumerate(docs):
+        want = np.zeros(n)
+        for t, times in Counter(q.tolist()).items():
+            for k, d in enumerate(docs):
+                tf = int((d == t).sum())
+                if tf and df[t] > 1:
+                    norm = packing.K1 * (1 - packing.B + packing.B * len(d) / mean)
+                    want[k] += math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (packing.K1 + 1) / (tf + norm) * times * (packing.K3 + 1) / (times + packing.K3)
+        assert index.scores(i) == pytest.approx(want)
+
+
+def test_packing_brings_copies_together(spark):
+    """Of many shards, copies meet in one; a content of more than half a shard is spread over several."""
+    rnd = random.Random(3)
+    fresh = lambda n: " ".join(f"w{rnd.randrange(10**5)}" for _ in range(n))
+    texts = [fresh(80) for _ in range(60)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, t) for k, t in enumerate(texts)] + [(1000 + k, texts[0]) for k in range(100)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), window=600, shard_tokens=6000).toPandas()
+    of = out.groupby("doc_id")["sequence_id"].agg(set)
+    ids = packing._dealt(packing.written(packing.tokenised(spark.createDataFrame(rows, "doc_id long, text string")), "ids"), 6000).toPandas()
+    assert ids.groupby("shard")["ids"].agg(lambda x: sum(map(len, x)) // 4).max() < 3 * 6000
+    shards = int(ids["shards"].iloc[0])
+    assert shards > 5
+    near = sum(min(abs(x - y) for x in of[k] for y in of[100 + k]) in (0, shards) for k in range(1, 60))
+    assert near >= 55
+
+
 def test_jaccard_components(docs, texts):
     words = {d: t.encode().lower().split() for d, t in texts.items()}
     sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for d, w in words.items()}
