@@ -32,6 +32,10 @@ WINDOW, SHARD_TOKENS = 4096, 1 << 21
 K1, K3, B = 1.2, 8.0, 0.75
 
 
+#: Rows of the salt table (16 bytes each) that are broadcast at most.
+BROADCAST_ROWS = 100_000
+
+
 class _Tokens:
     """Token ids of whole texts. White space always parts words, so each string between white space is encoded once and remembered.
 
@@ -218,8 +222,11 @@ def _dealt(ids: DataFrame, shard_tokens: int) -> DataFrame:
     tokens = (F.octet_length("ids") / 4).cast("long")
     total = ids.agg(F.sum(tokens)).first()[0] or 0  # one number
     shards = int(max(1, -(-total // shard_tokens)))
-    # fewer than two contents a shard can be that frequent
+    # fewer than two contents a shard can be that frequent: mostly none, and beyond BROADCAST_ROWS they are joined by a shuffle
     hot = ids.groupBy("content").agg(F.sum(tokens).alias("n")).where(F.col("n") > shard_tokens // 2).select("content", F.ceil(2 * F.col("n") / shard_tokens).alias("salts"))
+    hot = written(hot, "hot-contents")
+    if hot.count() <= BROADCAST_ROWS:
+        hot = F.broadcast(hot)
     salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("row"), "salts")).otherwise(0)
     return ids.join(hot, "content", "left").select("doc_id", "ids", "row", F.pmod(F.xxhash64("content", salt), F.lit(shards)).alias("shard"), F.lit(shards).alias("shards"))
 

@@ -96,7 +96,7 @@ def test_packing_scores_are_bm25():
 def test_packing_brings_copies_together(spark):
     """Of many shards, copies meet in one; a content of more than half a shard is spread over several."""
     rnd = random.Random(3)
-    fresh = lambda n: " ".join(f"w{rnd.randrange(10**5)}" for _ in range(n))
+    fresh = lambda n: " ".join("".join(rnd.choices("abcdefghiklmnoprstuv", k=5)) for _ in range(n))
     texts = [fresh(80) for _ in range(60)]
     rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, t) for k, t in enumerate(texts)] + [(1000 + k, texts[0]) for k in range(100)]
     out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), window=600, shard_tokens=6000).toPandas()
