@@ -102,16 +102,12 @@ class _Tokens:
         """ids as little-endian uint32."""
         if len(self.memo) > self.LIMIT:
             self.memo.clear()
-        get = self.memo.get
         parts = [self.strings(t) for t in texts]
-        found = [None if p is None else list(map(get, p)) for p in parts]
-        self.learn({x for p, f in zip(parts, found) if f for x, y in zip(p, f) if y is None})
-        out = []
-        for t, p, f in zip(texts, parts, found):
-            if f and None in f:
-                f = [get(x) if y is None else y for x, y in zip(p, f)]
-            out.append(self.whole(t) if f is None else b"".join(f))
-        return out
+        missing = set().union(*(p for p in parts if p)).difference(self.memo)
+        if missing:
+            self.learn(missing)
+        get = self.memo.__getitem__
+        return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
 
 
 _TOKENS: dict[str, _Tokens] = {}
@@ -131,27 +127,41 @@ class _Index:
         self.n = len(docs)
         size = np.array([len(d) for d in docs], float)
         norm = K1 * (1 - B + B * size / max(size.mean(), 1))
-        row = np.repeat(np.arange(self.n), size.astype(np.int64))
-        pair, tf = np.unique(np.concatenate(docs).astype(np.int64) * self.n + row, return_counts=True)
-        term, row = pair // self.n, pair % self.n
+        small = self.n * (int(max(d.max() for d in docs)) + 1) < 2**32
+        kind = np.uint32 if small else np.int64  # narrow numbers sort faster
+        row = np.repeat(np.arange(self.n, dtype=kind), size.astype(np.int64))
+        pair, tf = np.unique(np.concatenate(docs).astype(kind) * kind(self.n) + row, return_counts=True)
+        term, row = (pair // kind(self.n)).astype(np.int64), (pair % kind(self.n)).astype(np.int64)
         keys, df = np.unique(term, return_counts=True)
         several = np.repeat(df > 1, df)
-        term, self.row, tf, keys, df = term[several], row[several], tf[several], keys[df > 1], df[df > 1]
-        self.first = np.concatenate(([0], np.cumsum(df)))
+        row, tf, keys, df = row[several], tf[several], keys[df > 1], df[df > 1]
         idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.row])
-        # the terms of each document, and how much they count in it as a seed
         number = np.repeat(np.arange(len(keys)), df)
-        by = np.argsort(self.row, kind="stable")
-        self.terms, self.times = number[by], (tf * (K3 + 1) / (tf + K3))[by]
-        self.of = np.searchsorted(self.row[by], np.arange(self.n + 1))
+        weight = (idf[number] * tf * (K1 + 1) / (tf + norm[row])).astype(np.float32)
+        # the terms of each document, and how much they count in it as a seed
+        by = np.argsort(row, kind="stable")
+        self.terms, self.times = number[by], (tf * (K3 + 1) / (tf + K3))[by].astype(np.float32)
+        self.of = np.searchsorted(row[by], np.arange(self.n + 1))
+        # terms of many documents are rows of a matrix, the others postings
+        many = df * 16 > self.n
+        self.dense = np.cumsum(many) - 1
+        self.dense[~many] = -1
+        self.matrix = np.zeros((int(many.sum()), self.n), np.float32)
+        here = many[number]
+        self.matrix[self.dense[number[here]], row[here]] = weight[here]
+        self.row, self.weight = row[~here], weight[~here]
+        self.first = np.concatenate(([0], np.cumsum(np.where(many, 0, df))))
 
     def scores(self, i: int) -> np.ndarray:
         """Of all documents for document i as the query, over all its terms."""
         t, times = self.terms[self.of[i] : self.of[i + 1]], self.times[self.of[i] : self.of[i + 1]]
+        at = self.dense[t]
+        query = np.zeros(len(self.matrix), np.float32)
+        query[at[at >= 0]] = times[at >= 0]
+        t, times = t[at < 0], times[at < 0]
         size = self.first[t + 1] - self.first[t]
         at = np.repeat(self.first[t] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return np.bincount(self.row[at], weights=self.weight[at] * np.repeat(times, size), minlength=self.n)
+        return query @ self.matrix + np.bincount(self.row[at], weights=self.weight[at] * np.repeat(times, size), minlength=self.n)
 
 
 def _fill(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
@@ -191,10 +201,17 @@ def _fill(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int,
             queue = [int(k) for k in best[::-1] if score[k] > 0]
 
 
-def _content(ids: np.ndarray) -> int:
-    """The smallest hash of the pairs of neighbouring ids; of the only id, if there is one alone."""
-    pairs = ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:] if len(ids) > 1 else ids.astype(np.uint64)
-    return int(mix(mix(pairs).min(keepdims=True)).view(np.int64)[0])
+def _contents(ids: list[bytes]) -> np.ndarray:
+    """Of each document the smallest hash of its pairs of neighbouring ids; of its only id, if there is one alone."""
+    every = np.frombuffer(b"".join(ids), "<u4").astype(np.uint64)
+    first = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids])))
+    pairs = every * np.uint64(0x9E3779B97F4A7C15)
+    pairs[:-1] ^= every[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    pairs ^= pairs >> np.uint64(29)
+    pairs *= np.uint64(0xBF58476D1CE4E5B9)
+    several = np.diff(first) > 1
+    pairs[first[1:][several] - 1] = np.uint64(2**64 - 1)  # an end id and the next document's first one are no pair
+    return mix(np.minimum.reduceat(pairs, first[:-1])).view(np.int64)
 
 
 def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -210,7 +227,7 @@ def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
         end = np.array([END], "<u4").tobytes()
         for pdf in batches:
             ids = [x + end for x in tokens(list(pdf["text"]))]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids, "content": [_content(np.frombuffer(x, "<u4")) for x in ids], "row": np.arange(row, row + len(pdf))})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids, "content": _contents(ids) if ids else [], "row": np.arange(row, row + len(pdf))})
             row += len(pdf)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
