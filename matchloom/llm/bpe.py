@@ -1,57 +1,44 @@
 """Byte-level BPE encoding and decoding through a table of distinct words.
 
-Texts are split into words where they are read. The words that a bounded sample of documents shows to be most frequent
-(at most HOT_WORDS of at most HOT_BYTES bytes each, so their table has a fixed bound) are encoded once and travel to the
-tasks as a broadcast. All other words go, once a document, to the partition of their hash, where each distinct word is
-encoded once; its ids are joined back to the documents and laid down by position. Which words are in the sample decides
-how much moves, never what comes out. Decoding joins ids to the vocabulary's pieces, a table bounded by the vocabulary.
+Documents are read in blocks of a few megabytes. A block's texts are split at the spaces that always part words, and its
+distinct words go to the partition of their hash, where each distinct word of the corpus is encoded once. The ids return to
+the blocks and are laid down by position. A word that a third of the documents have is one row's entry a block, so nothing
+is hot. Decoding joins ids to the vocabulary's pieces inside the tasks, a table bounded by the vocabulary.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
+import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
-import regex
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import chunks, table
+from .common import as_bytes, table, written
 
 TOKENIZER = "byte_bpe_50k.json"
-HOT_WORDS, HOT_BYTES, SAMPLE = 1 << 18, 64, 40_000
-#: The pre-tokeniser's pattern; white space is Unicode's in both dialects.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-JAVA_PATTERN = PATTERN.replace(r"[^\s", r"[^\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}").replace(r"\s", r"\p{IsWhite_Space}")
-_UNSAFE = regex.compile(r"\s |^ | \s|\s$| $")
+#: Bytes of text in a block, and of words (about WORD_SHARE of the text) in a partition of the word table.
+BLOCK_BYTES, PARTITION_BYTES, WORD_SHARE = 1 << 22, 1 << 22, 0.4
+#: A lone space between two characters that are not white space always begins a word of the pre-tokeniser, so texts can be cut before it.
+CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
-def special_tokens(path: str) -> list[str]:
-    return [t["content"] for t in json.load(open(path, encoding="utf-8"))["added_tokens"]]
-
-
-def split_words(text: Column, specials: list[str]) -> Column:
-    """The array of words of a text, special tokens left out."""
-    parts = F.split(text, "|".join("\\Q" + s + "\\E" for s in specials))
-    every = lambda t: F.regexp_extract_all(t, F.lit(JAVA_PATTERN), F.lit(0))
-    has = F.lit(False)
-    for s in specials:
-        has = has | F.contains(text, F.lit(s))
-    return F.when(has, F.flatten(F.transform(parts, every))).otherwise(every(text))
+def split_words(text: str) -> list[str]:
+    """The text in pieces that can be encoded apart; most are one word with its space and punctuation."""
+    return CUT.split(text) if text else []
 
 
-def distinct_words(texts: DataFrame, path: str) -> DataFrame:
-    """(word, n): every distinct word of texts.text and how often it occurs."""
-    return texts.select(F.explode(split_words(F.col("text"), special_tokens(path))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _encode_each(words: list[str], tok: Tokenizer) -> list[bytes]:
-    return [np.asarray(e.ids, np.int32).tobytes() for e in tok.encode_batch_fast(words, add_special_tokens=False)]
+def special_tokens(path: str) -> list[str]:
+    return [t["content"] for t in json.load(open(path, encoding="utf-8"))["added_tokens"]]
 
 
 def _tokenizer(path: str) -> Tokenizer:
@@ -61,137 +48,109 @@ def _tokenizer(path: str) -> Tokenizer:
     return tok
 
 
-class _Encoder:
-    """Lays ids down by position, from the broadcast words and a text's own rare ones."""
-
-    def __init__(self, hot: dict[str, bytes], specials: dict[str, bytes]):
-        self.hot, self.memo, self.specials = hot, {}, specials
-        self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in specials) + ")") if specials else None
-        self.words = regex.compile(PATTERN)
-
-    def chunk(self, text: str, out: list, rare: dict[str, int]) -> None:
-        """Append the ids of text's words to out, for words without known ids their number in rare, which grows."""
-        parts, known = [], True
-        for w in self.words.findall(text):
-            b = self.hot.get(w)
-            if b is None:
-                b, known = rare.setdefault(w, len(rare)), False
-            parts.append(b)
-        if known:
-            if len(self.memo) > 250_000:
-                self.memo.clear()
-            self.memo[text] = joined = b"".join(parts)
-            out.append(joined)
-        else:
-            out += parts
-
-    def piece(self, text: str, out: list, rare: dict[str, int]) -> None:
-        # a lone space between two other characters always begins a word, so what it parts can be looked up alone
-        if _UNSAFE.search(text):
-            self.chunk(text, out, rare)
-            return
-        first, *rest = text.split(" ")
-        get = self.memo.get
-        if first:
-            self.chunk(first, out, rare)
-        for x in rest:
-            x = " " + x
-            b = get(x)
-            if b is None:
-                self.chunk(x, out, rare)
-            else:
-                out.append(b)
-
-    def __call__(self, text: str) -> tuple[list, list[str]]:
-        """(ids of stretches as bytes and numbers of rare words, in order; the rare words)."""
-        out: list = []
-        rare: dict[str, int] = {}
-        if self.cut is None or not any(s in text for s in self.specials):
-            self.piece(text, out, rare)
-        else:
-            for x in self.cut.split(text):
-                if x in self.specials:
-                    out.append(self.specials[x])
-                else:
-                    self.piece(x, out, rare)
-        return out, list(rare)
-
-
-def encode(docs: DataFrame, path: str | None = None, hot_words: int = HOT_WORDS, sample_rows: int = SAMPLE) -> DataFrame:
+def _blocks(batches, block_bytes: int):
+    """(number, doc ids, texts) of the blocks of a partition: the same ones whenever its rows come in the same order."""
+    part, k, ids, texts, total = TaskContext.get().partitionId() << 24, 0, [], [], 0
+    for pdf in batches:
+        for i, t in zip(pdf["doc_id"], pdf["text"]):
+            ids.append(i)
+            texts.append(t)
+            total += len(t) + 64
+            if total >= block_bytes:
+                yield part + k, ids, texts
+                k, ids, texts, total = k + 1, [], [], 0
+    if ids:
+        yield part + k, ids, texts
+
+
+def _word_table(texts: list[str], partitions: int) -> tuple[list[list[str]], list[list[str]]]:
+    """(words of each text, distinct words of each partition in the order in which the block meets them)."""
+    parts = [split_words(t) for t in texts]
+    out: list[list[str]] = [[] for _ in range(partitions)]
+    for w in dict.fromkeys(chain.from_iterable(parts)):
+        out[zlib.crc32(w.encode("utf-8", "surrogatepass")) % partitions].append(w)
+    return parts, out
+
+
+def encode(docs: DataFrame, path: str | None = None, stable: bool = False, block_bytes: int | None = None) -> DataFrame:
     """(doc_id, ids array<int>) for every row of docs(doc_id, text): the ids of the whole text.
 
     Null texts count as empty and give no ids. Rows whose doc_id is null or repeated each keep their own ids; other columns
-    are not read. An empty table gives an empty one.
+    are not read. An empty table gives an empty one. docs is read twice and must give its rows in the same order: unless the
+    caller says that it is stable (a scan of files), it is written to the shared folder first. Blocks that differ raise an error.
     """
-    path = path or public_tokenizers.path(TOKENIZER)
-    spark, specials = docs.sparkSession, special_tokens(path)
+    path, block_bytes = path or public_tokenizers.path(TOKENIZER), block_bytes or BLOCK_BYTES
     kind = dict(docs.dtypes)["doc_id"]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # a row's key: the rare words of rows with one key are numbered alike, for the key holds a hash of the text
-    texts = docs.select(F.xxhash64("doc_id", text).alias("key"), "doc_id", text.alias("text"))
-    rows = max(1, texts.count())
-    sample = texts.where(F.pmod(F.col("key"), F.lit(1_000_000)) < min(1_000_000, 1_000_000 * sample_rows // rows + 1))
-    frequent = distinct_words(sample, path).where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").select("word").limit(hot_words)
-    tok = _tokenizer(path)
-    words = frequent.toArrow().column("word").to_pylist()
-    hot: dict[str, bytes] = {}
-    for a in range(0, len(words), 20_000):
-        hot |= zip(words[a : a + 20_000], _encode_each(words[a : a + 20_000], tok))
-    sent = spark.sparkContext.broadcast(hot)
-    del hot, words
-    special_ids = {s: np.int32(tok.token_to_id(s)).tobytes() for s in specials}
-
-    def rare_words(batches):
-        lay = _encoder(sent, special_ids)
-        for pdf in batches:
-            found = [(k, i, w) for k, t in zip(pdf["key"], pdf["text"]) for i, w in enumerate(lay(t)[1])]
-            yield pd.DataFrame(found, columns=["key", "number", "word"])
-
-    def encode_rare(batches):
-        tok, last, ids = _tokenizer(path), None, b""
-        for pdf in batches:  # sorted by word
-            words = pdf["word"].tolist()
-            new = list(dict.fromkeys(w for w in words if w != last))
-            known = dict(zip(new, _encode_each(new, tok)))
-            known.setdefault(last, ids)
-            yield pd.DataFrame({"key": pdf["key"], "number": pdf["number"], "ids": [known[w] for w in words]})
-            last, ids = words[-1], known[words[-1]]
-
-    asked = texts.select("key", "text").mapInPandas(rare_words, "key long, number int, word string")
-    found = asked.repartition("word").sortWithinPartitions("word").mapInPandas(encode_rare, "key long, number int, ids binary")
-    rare = found.groupBy("key").agg(F.collect_list(F.struct("number", "ids")).alias("rare"))
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if not stable:
+        texts = written(texts, "texts")
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one number
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(max(min(least, 1 + total // 65536), total * WORD_SHARE // PARTITION_BYTES, 1))
+    narrow = np.dtype("<u2" if _tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4")
+
+    def ask(batches):
+        z = zstandard.ZstdCompressor(3)
+        for block, _, part in _blocks(batches, block_bytes):
+            check = zlib.crc32(b"".join(as_bytes(part)))
+            raw = [(f, as_bytes(w)) for f, w in enumerate(_word_table(part, partitions)[1]) if w]
+            out = [(f, block, check, z.compress(np.array([len(x) for x in w], "<u4").tobytes()), sum(map(len, w)), z.compress(b"".join(w))) for f, w in raw]
+            yield pd.DataFrame(out, columns=["frag", "block", "check", "sizes", "raw", "words"])
+
+    def answer(pdf):
+        """Each distinct word of the partition is encoded once, whatever number of blocks asks."""
+        z, c, tok = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(3), _tokenizer(path)
+        number: dict[bytes, int] = {}
+        asked = []
+        for sizes, raw, words in zip(pdf["sizes"], pdf["raw"], pdf["words"]):
+            text, end = z.decompress(words, max_output_size=max(1, int(raw))), np.cumsum(np.frombuffer(z.decompress(sizes), "<u4")).tolist()
+            asked.append(np.array([number.setdefault(text[a:b], len(number)) for a, b in zip([0, *end[:-1]], end)]))
+        every, ids = list(number), []
+        del number
+        for a in range(0, len(every), 20_000):
+            some = [w.decode("utf-8", "surrogatepass") for w in every[a : a + 20_000]]
+            ids += [np.array(e.ids, narrow) for e in tok.encode_batch_fast(some, add_special_tokens=False)]
+        size = np.array([len(x) for x in ids])
+        flat, first = np.concatenate(ids), np.cumsum(size) - size
+        out = []
+        for w in asked:
+            n = size[w]
+            at = np.repeat(first[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out.append((c.compress(n.astype("<u4").tobytes()), c.compress(flat[at].tobytes())))
+        sizes, found = zip(*out)
+        return pd.DataFrame({"block": pdf["block"], "frag": pdf["frag"], "check": pdf["check"], "sizes": sizes, "ids": found})
 
     def pack(batches):
         z = zstandard.ZstdCompressor(3)
-        for pdf in batches:
-            yield pdf.assign(text=[z.compress(t.encode("utf-8", "surrogatepass")) for t in pdf["text"]])
-
-    packed = texts.mapInPandas(pack, f"key long, doc_id {kind}, text binary")
-
-    def fill(batches):
-        z = zstandard.ZstdDecompressor()
-        lay = _encoder(sent, special_ids)
-        for pdf in batches:
-            for a, b in chunks([len(t) for t in pdf["text"]], 1 << 20):
-                part = pdf.iloc[a:b]
-                ids = []
-                for t, found in zip(part["text"], part["rare"]):
-                    own = {} if found is None else {x["number"]: x["ids"] for x in found}
-                    out, _ = lay(z.decompress(t).decode("utf-8", "surrogatepass"))
-                    ids.append(np.frombuffer(b"".join([own[x] if type(x) is int else x for x in out] if own else out), np.int32))
-                yield pd.DataFrame({"doc_id": part["doc_id"], "ids": ids})
-
-    return packed.join(rare, "key", "left").select("doc_id", "text", "rare").mapInPandas(fill, f"doc_id {kind}, ids array<int>")
-
-
-_ENCODER: list = []
-
-
-def _encoder(sent, special_ids: dict[str, bytes]) -> _Encoder:
-    """One a Python worker and broadcast, so that tasks share what it remembers."""
-    if not _ENCODER or _ENCODER[0] is not sent.value:
-        _ENCODER[:] = [sent.value, _Encoder(sent.value, special_ids)]
-    return _ENCODER[1]
+        for block, ids, part in _blocks(batches, block_bytes):
+            raw = as_bytes(part)
+            absent = [i is None or i != i for i in ids]
+            fill = "" if kind == "string" else 0
+            row = {"block": block, "doc_ids": [fill if x else i for i, x in zip(ids, absent)], "absent": absent, "sizes": np.array([len(x) for x in raw], np.int32), "raw": sum(map(len, raw)), "texts": z.compress(b"".join(raw))}
+            yield pd.DataFrame([row])
+
+    def lay(left, right):
+        z, out = zstandard.ZstdDecompressor(), []
+        for row in left.itertuples(index=False):
+            raw = z.decompress(row.texts, max_output_size=max(1, int(row.raw)))
+            if len(right) and (right["check"] != zlib.crc32(raw)).any():
+                raise ValueError("the documents came in another order when they were read again")
+            end = np.cumsum(row.sizes).tolist()
+            parts, words = _word_table([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *end[:-1]], end)], partitions)
+            memo: dict[str, bytes] = {}
+            for frag, sizes, ids in zip(right["frag"], right["sizes"], right["ids"]):
+                flat = z.decompress(ids)
+                at = (np.cumsum(np.frombuffer(z.decompress(sizes), "<u4")) * narrow.itemsize).tolist()
+                memo.update((w, flat[a:b]) for w, a, b in zip(words[frag], [0, *at[:-1]], at, strict=True))
+            get = memo.__getitem__
+            found = [np.frombuffer(b"".join(map(get, p)), narrow).astype(np.int32) for p in parts]
+            out.append(pd.DataFrame({"doc_id": pd.Series([None if x else i for i, x in zip(row.doc_ids, row.absent)], dtype=object), "ids": found}))
+        return pd.concat(out)
+
+    asked = texts.mapInPandas(ask, "frag int, block long, check long, sizes binary, raw long, words binary")
+    answers = asked.groupBy("frag").applyInPandas(answer, "block long, frag int, check long, sizes binary, ids binary")
+    packed = texts.mapInPandas(pack, f"block long, doc_ids array<{kind}>, absent array<boolean>, sizes array<int>, raw long, texts binary")
+    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lay, f"doc_id {kind}, ids array<int>")
 
 
 def pieces(path: str | None = None) -> list[bytes]:
@@ -237,7 +196,7 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(ids: pd.Series) -> pd.Series:
         return ids.map(lambda i: hashlib.sha256(np.asarray(i, "<u4").tobytes()).hexdigest())
 
-    both = decode(encode(table(spark, sf_dir, "documents")))
+    both = decode(encode(table(spark, sf_dir, "documents"), stable=True))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest("ids").alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

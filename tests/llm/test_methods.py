@@ -48,10 +48,29 @@ def small_blocks(monkeypatch):
 
 def test_bpe_equals_tokenizer(docs, texts):
     tok = Tokenizer.from_file(public_tokenizers.path(bpe.TOKENIZER))
-    for hot in (1 << 18, 50):
-        for r in bpe.decode(bpe.encode(docs, hot_words=hot)).toPandas().itertuples():
-            ids = tok.encode(texts[r.doc_id], add_special_tokens=False).ids
-            assert list(r.ids) == ids and r.text == tok.decode(ids, skip_special_tokens=False)
+    want = {d: tok.encode(t, add_special_tokens=False).ids for d, t in texts.items()}
+    for size in (1 << 22, 1 << 15):
+        for r in bpe.decode(bpe.encode(docs, block_bytes=size)).toPandas().itertuples():
+            assert list(r.ids) == want[r.doc_id] and r.text == tok.decode(want[r.doc_id], skip_special_tokens=False)
+
+
+def test_bpe_words_can_be_encoded_apart():
+    tok, rnd = Tokenizer.from_file(public_tokenizers.path(bpe.TOKENIZER)), random.Random(5)
+    pool = [*"   \n\t.,!'sS09aé", "\x1c", "\x85", "\u00a0", "\u3000", "don't", "<|endoftext|>", "\U0001f642", "e\u0301", "ab", "\ud7a3"]
+    for _ in range(4000):
+        text = "".join(rnd.choices(pool, k=rnd.randint(0, 14)))
+        apart = [i for w in bpe.split_words(text) for i in tok.encode(w, add_special_tokens=False).ids]
+        assert "".join(bpe.split_words(text)) == text and apart == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_query_digests(spark):
+    tok = Tokenizer.from_file(public_tokenizers.path(bpe.TOKENIZER))
+    tok.no_truncation()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    for r in bpe.op1_bpe_round_trip(spark, DATA).collect():
+        ids = tok.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
 def test_packing_lays_every_id_once(docs, texts):
