@@ -224,6 +224,42 @@ def test_passages_among_hot_phrases(spark):
     assert all(r.doc_id in range(60, 140) for r in spans.collect())
 
 
+def test_passages_of_documents_between_others(spark):
+    """Groups of four: an exact passage of 60 words in the second and fourth, 42 words of it in the first and third too."""
+    rnd = random.Random(12)
+    fresh = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    texts = {}
+    for d in range(0, 1200, 4):
+        x = fresh(60)
+        for k in range(4):
+            texts[d + k] = fresh(30) + (x if k % 2 else x[9:51]) + fresh(30)
+    texts = {d: " ".join(w) for d, w in texts.items()}
+    spans = substring.near_duplicate_passages(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(5))
+    assert not uncovered_runs(texts, spans)
+
+
+def test_passages_recall_of_near_copies(spark):
+    """Passages with random edits at a similarity of 0.8 and somewhat more, against brute force on the planted pairs."""
+    rnd = random.Random(13)
+    fresh = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    phrases = [fresh(12) for _ in range(4)]
+    texts, near = {}, []
+    for d in range(300):
+        x = fresh(20) + phrases[d % 4] + fresh(48)
+        y = list(x)
+        for _ in range(rnd.randint(1, 2)):
+            y[rnd.randrange(80)] = fresh(1)[0]
+        texts[d], texts[1000 + d] = fresh(40) + x + fresh(40), fresh(40) + y + fresh(40)
+        p, q = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x, y))
+        if len(p & q) >= 0.8 * len(p | q):
+            near.append(1000 + d)
+    texts = {d: " ".join(w) for d, w in texts.items()}
+    spans = substring.near_duplicate_passages(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(5))
+    found = {r.doc_id for r in spans.collect() if r.partner_id == r.doc_id - 1000}
+    assert len(near) > 150 and len(found & set(near)) >= 0.95 * len(near)
+    assert all(d >= 1000 for d in found)
+
+
 @pytest.mark.parametrize("apart", [16, 20, 24])
 def test_passages_side_by_side(spark, apart):
     """Two exact passages that lie apart in the earlier text and side by side in the later one."""
