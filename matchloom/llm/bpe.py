@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import zlib
 from itertools import chain
@@ -27,7 +28,9 @@ from .common import as_bytes, table, written
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Bytes of text in a block, and of words (about WORD_SHARE of the text) in a partition of the word table.
-BLOCK_BYTES, PARTITION_BYTES, WORD_SHARE = 1 << 22, 1 << 22, 0.4
+BLOCK_BYTES, PARTITION_BYTES, WORD_SHARE = 3 << 20, 1 << 22, 0.4
+#: Of compression, for what is shuffled.
+LEVEL = 9
 #: A lone space between two characters that are not white space always begins a word of the pre-tokeniser, so texts can be cut before it.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -48,6 +51,17 @@ def _tokenizer(path: str) -> Tokenizer:
     return tok
 
 
+_TOKENIZERS: dict[str, Tokenizer] = {}
+
+
+def _shared_tokenizer(path: str) -> Tokenizer:
+    """One a Python worker, on the task's own thread."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = _tokenizer(path)
+    return _TOKENIZERS[path]
+
+
 def _blocks(batches, block_bytes: int):
     """(number, doc ids, texts) of the blocks of a partition: the same ones whenever its rows come in the same order."""
     part, k, ids, texts, total = TaskContext.get().partitionId() << 24, 0, [], [], 0
@@ -64,10 +78,10 @@ def _blocks(batches, block_bytes: int):
 
 
 def _word_table(texts: list[str], partitions: int) -> tuple[list[list[str]], list[list[str]]]:
-    """(words of each text, distinct words of each partition in the order in which the block meets them)."""
+    """(words of each text, distinct words of each partition in their order, in which they compress best)."""
     parts = [split_words(t) for t in texts]
     out: list[list[str]] = [[] for _ in range(partitions)]
-    for w in dict.fromkeys(chain.from_iterable(parts)):
+    for w in sorted(set(chain.from_iterable(parts))):
         out[zlib.crc32(w.encode("utf-8", "surrogatepass")) % partitions].append(w)
     return parts, out
 
@@ -90,7 +104,7 @@ def encode(docs: DataFrame, path: str | None = None, stable: bool = False, block
     narrow = np.dtype("<u2" if _tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4")
 
     def ask(batches):
-        z = zstandard.ZstdCompressor(3)
+        z = zstandard.ZstdCompressor(LEVEL)
         for block, _, part in _blocks(batches, block_bytes):
             check = zlib.crc32(b"".join(as_bytes(part)))
             raw = [(f, as_bytes(w)) for f, w in enumerate(_word_table(part, partitions)[1]) if w]
@@ -99,7 +113,7 @@ def encode(docs: DataFrame, path: str | None = None, stable: bool = False, block
 
     def answer(pdf):
         """Each distinct word of the partition is encoded once, whatever number of blocks asks."""
-        z, c, tok = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(3), _tokenizer(path)
+        z, c, tok = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(3), _shared_tokenizer(path)
         number: dict[bytes, int] = {}
         asked = []
         for sizes, raw, words in zip(pdf["sizes"], pdf["raw"], pdf["words"]):
@@ -107,8 +121,8 @@ def encode(docs: DataFrame, path: str | None = None, stable: bool = False, block
             asked.append(np.array([number.setdefault(text[a:b], len(number)) for a, b in zip([0, *end[:-1]], end)]))
         every, ids = list(number), []
         del number
-        for a in range(0, len(every), 20_000):
-            some = [w.decode("utf-8", "surrogatepass") for w in every[a : a + 20_000]]
+        for a in range(0, len(every), 2_000):
+            some = [w.decode("utf-8", "surrogatepass") for w in every[a : a + 2_000]]
             ids += [np.array(e.ids, narrow) for e in tok.encode_batch_fast(some, add_special_tokens=False)]
         size = np.array([len(x) for x in ids])
         flat, first = np.concatenate(ids), np.cumsum(size) - size
@@ -121,7 +135,7 @@ def encode(docs: DataFrame, path: str | None = None, stable: bool = False, block
         return pd.DataFrame({"block": pdf["block"], "frag": pdf["frag"], "check": pdf["check"], "sizes": sizes, "ids": found})
 
     def pack(batches):
-        z = zstandard.ZstdCompressor(3)
+        z = zstandard.ZstdCompressor(LEVEL)
         for block, ids, part in _blocks(batches, block_bytes):
             raw = as_bytes(part)
             absent = [i is None or i != i for i in ids]
