@@ -6,45 +6,61 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _log_beta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    g = np.vectorize(math.lgamma, otypes=[float])
-    return g(a) + g(b) - g(a + b)
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 
-def incomplete_beta(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta function by its continued fraction (modified Lentz)."""
+def _log_beta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whole numbers, as counts mostly are, are looked up in one table; the result of a row does not depend on the others."""
+    whole = (a == np.rint(a)) & (b == np.rint(b)) & (a >= 1) & (b >= 1) & (a + b <= 1_000_000)
+    out = np.empty(a.shape)
+    out[~whole] = _lgamma(a[~whole]) + _lgamma(b[~whole]) - _lgamma(a[~whole] + b[~whole]) if not whole.all() else 0
+    x, y = a[whole].astype(np.int64), b[whole].astype(np.int64)
+    if x.size:
+        g = np.concatenate(([0.0, 0.0], np.cumsum(np.log(np.arange(1, int((x + y).max()), dtype=float)))))  # of 0 (unused), 1, 2, ...
+        out[whole] = g[x] + g[y] - g[x + y]
+    return out
+
+
+def incomplete_beta(x: np.ndarray, a: np.ndarray, b: np.ndarray, log_beta: np.ndarray | None = None) -> np.ndarray:
+    """Regularised incomplete beta function by its continued fraction (modified Lentz), until it stands still."""
     x, a, b = np.broadcast_arrays(*(np.asarray(v, float) for v in (x, a, b)))
     flip = x > (a + 1) / (a + b + 2)
     p, q, z = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
     tiny = 1e-300
     c, d = np.ones_like(z), 1 / np.where(np.abs(t := 1 - (p + q) * z / (p + 1)) < tiny, tiny, t)
-    h = d.copy()
-    for m in range(1, 200):
+    h, done = d.copy(), np.zeros(z.shape, bool)
+    for m in range(1, 1000):
         for num in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
             d = 1 + num * d
             d = 1 / np.where(np.abs(d) < tiny, tiny, d)
             c = 1 + num / c
             c = np.where(np.abs(c) < tiny, tiny, c)
-            h = h * d * c
+            h = np.where(done, h, h * d * c)
+        done |= np.abs(d * c - 1) < 1e-15
+        if done.all():
+            break
     with np.errstate(divide="ignore"):
-        front = np.exp(p * np.log(z) + q * np.log1p(-z) - _log_beta(p, q)) / p
+        front = np.exp(p * np.log(z) + q * np.log1p(-z) - (_log_beta(p, q) if log_beta is None else log_beta)) / p
     out = np.where(z <= 0, 0.0, np.where(z >= 1, 1.0, front * h))
     return np.where(flip, 1 - out, out)
 
 
 def beta_quantile(q, a, b) -> np.ndarray:
-    """Quantiles of beta distributions, by bisection on the incomplete beta function."""
+    """Quantiles of beta distributions, by bisection on the incomplete beta function; equal rows are solved once."""
     q, a, b = np.broadcast_arrays(*(np.asarray(v, float) for v in (q, a, b)))
-    low, high = np.zeros(q.shape), np.ones(q.shape)
+    if not q.size:
+        return np.zeros(q.shape)
+    (q, a, b), back = np.unique(np.stack([q.ravel(), a.ravel(), b.ravel()]), axis=1, return_inverse=True)
+    low, high, known = np.zeros(q.shape), np.ones(q.shape), _log_beta(a, b)
     for _ in range(52):
         middle = (low + high) / 2
-        under = incomplete_beta(middle, a, b) < q
+        under = incomplete_beta(middle, a, b, known) < q
         low, high = np.where(under, middle, low), np.where(under, high, middle)
-    return (low + high) / 2
+    return ((low + high) / 2)[back.ravel()]
 
 
 def beta_interval(wins: Column, losses: Column, prior: tuple[float, float] = (1.0, 1.0), level: float = 0.95) -> Column:
@@ -89,22 +105,39 @@ def compositions(m: DataFrame, b: DataFrame) -> DataFrame:
     return m.join(b, "match_id").groupBy(F.array_join("items", "|").alias("basket")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("result = 'win'")).alias("wins"), F.count_if(F.expr("result = 'loss'")).alias("losses"))
 
 
+#: Items of a vocabulary that fits the bits of a long.
+MASK_ITEMS = 62
+
+
 def jaccard_join(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, jaccard) of sets(id, items) with a < b and similarity >= threshold > 0.
 
-    Pairs meet only under the rarest items of each set (its prefix), so a frequent item builds no pairs; overlaps are then exact.
+    Sets that must share two items meet under pairs of their rarest ones (of k shared items two are among the first
+    size - k + 2 of either), so a frequent item builds no pairs; sets so small that they need share one only meet under it.
+    Over a small vocabulary sets travel as bit masks, else their items are joined to the candidates.
     """
-    rows = sets.select("id", F.explode("items").alias("item"))
+    rows = sets.select("id", F.explode(F.array_distinct("items")).alias("item"))
     df = rows.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
-    ordered = rows.join(df, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("z"))
+    small = df.limit(MASK_ITEMS + 1).count() <= MASK_ITEMS
+    if small:
+        df = F.broadcast(df.withColumn("bit", F.row_number().over(Window.orderBy("item")) - 1))  # at most MASK_ITEMS rows
+    ordered = rows.join(df, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("z"), *([F.sum(F.expr("shiftleft(1L, bit)")).alias("mask")] if small else []))
     size = F.size("z")
-    keep = size - F.ceil(size * F.lit(threshold)).cast("int") + 1
-    prefix = ordered.select("id", F.transform("z", lambda x: x["item"]).alias("items"), F.explode(F.slice("z", 1, F.greatest(keep, F.lit(1)))).alias("p")).select("id", "items", F.col("p.item").alias("key"))
-    a, b = prefix.select(F.col("id").alias("a"), F.col("items").alias("x"), "key"), prefix.select(F.col("id").alias("b"), F.col("items").alias("y"), "key")
-    fits = (F.size("x") >= F.size("y") * threshold) & (F.size("y") >= F.size("x") * threshold)
-    both = F.size(F.array_intersect("x", "y"))
-    pairs = a.join(b, "key").where("a < b").where(fits).select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("jaccard"))
-    return pairs.where(F.col("jaccard") >= threshold).distinct()
+    need = F.ceil(size * F.lit(threshold) - 1e-9).cast("int")
+    head = F.transform(F.slice("z", 1, size - need + 2), lambda x: x["item"])
+    pairs = F.flatten(F.transform(head, lambda x, i: F.transform(F.slice(head, i + 2, F.size(head)), lambda y: F.concat_ws("\x1f", x, y))))
+    single = F.when(size * threshold <= 1 + 1e-9, F.transform("z", lambda x: x["item"])).otherwise(F.array().cast("array<string>"))
+    keys = ordered.select("id", size.alias("size"), *(["mask"] if small else []), F.explode(F.concat(pairs, single)).alias("key"))
+    a, b = (keys.select(F.col("id").alias(n), F.col("size").alias(f"size_{n}"), *([F.col("mask").alias(f"mask_{n}")] if small else []), "key") for n in "ab")
+    met = a.join(b, "key").where("a < b").where((F.col("size_a") >= F.col("size_b") * threshold - 1e-9) & (F.col("size_b") >= F.col("size_a") * threshold - 1e-9))
+    if small:
+        both = F.bit_count(F.col("mask_a").bitwiseAND(F.col("mask_b")))
+    else:
+        of = lambda n: sets.select(F.col("id").alias(n), F.array_distinct("items").alias(f"items_{n}"))
+        met = met.select("a", "b", "size_a", "size_b").distinct().join(of("a"), "a").join(of("b"), "b")
+        both = F.size(F.array_intersect("items_a", "items_b"))
+    out = met.select("a", "b", (both / (F.col("size_a") + F.col("size_b") - both)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return out.distinct() if small else out
 
 
 def greedy_clusters(comp: DataFrame, group: str, threshold: float, limit: int = 50_000) -> DataFrame:
