@@ -151,8 +151,6 @@ _AB = "x as (select event_id, match_id, tick, match_id % 2 as won, (k + 1) / 102
 add("j11_ab_eval", lambda s, d: events(s, d).select("match_id", "tick", (F.col("match_id") % 2).alias("won"), F.explode(F.array(F.struct(F.lit("a").alias("model"), ((F.col("k") + 1) / 102).alias("p")), F.struct(F.lit("b").alias("model"), ((F.col("k") % 50 + 1) / 52).alias("p")))).alias("z")).groupBy("z.model").agg(
     F.count(F.lit(1)).alias("n"), F.round(F.avg(-F.when(F.col("won") == 1, F.log("z.p")).otherwise(F.log(1 - F.col("z.p")))), 6).alias("loss"), F.avg(F.when((F.col("z.p") >= 0.5) == (F.col("won") == 1), 1.0).otherwise(0.0)).alias("accuracy")),
     f"with {_AB}, z as (select 'a' as model, won, pa as p from x union all select 'b', won, pb from x) select model, count(*) as n, round(avg(-case when won = 1 then ln(p) else ln(1 - p) end), 6) as loss, avg(((p >= 0.5) = (won = 1))::int::double) as accuracy from z group by 1", "e")
-add("j17_percentile_vs_controls", lambda s, d: table(s, d, "embeddings").select("vec_id", F.round((F.rank().over(Window.partitionBy("label").orderBy(F.element_at("embedding", 1))) - 1) / F.count(F.lit(1)).over(Window.partitionBy("label")), 6).alias("percentile")),
-    "select vec_id, round((rank() over (partition by label order by embedding[1]) - 1) / count(*) over (partition by label), 6) as percentile from embeddings")
 add("j22_select_cohort", lambda s, d: (lambda c: c.join(matches(s, d).groupBy("entity").agg(F.count_distinct("kind").alias("kinds")).where("kinds >= 4"), "entity", "left_semi"))(matches(s, d).groupBy("entity", "kind").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")),
     "select entity, kind, count(*) as n from m where entity in (select entity from m group by 1 having count(distinct kind) >= 4) group by 1, 2 having count(*) >= 2", "m")
 

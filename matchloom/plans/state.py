@@ -48,8 +48,6 @@ add("e25_basket_items", lambda s, d: O.baskets(rosters(s, d)).groupBy(X.basket_h
     "select hash, min(match_id) as example, max(size) as size from (select match_id, substr(md5(string_agg(distinct item, '|' order by item)), 1, 16) as hash, count(distinct item) as size from r where is_player = 1 group by match_id) group by hash", "r")
 add("f12_activity_profile", lambda s, d: events(s, d).groupBy("match_id", F.hour("ts").alias("hour"), F.weekday("ts").alias("day")).agg(F.count(F.lit(1)).alias("n")),
     "select match_id, hour(ts)::int as hour, (isodow(ts) - 1)::int as day, count(*) as n from e group by 1, 2, 3", "e")
-add("f13_activity_features", lambda s, d: events(s, d).groupBy("match_id").agg(F.round(F.log1p(F.count(F.lit(1)).cast("double")), 6).alias("log_n"), F.least(F.count_distinct(F.hour("ts")), F.lit(12)).alias("hours")),
-    "select match_id, round(ln(1 + count(*)::double), 6) as log_n, least(count(distinct hour(ts)), 12) as hours from e group by 1", "e")
 add("f11_zscore", lambda s, d: (lambda v: v.select("vec_id", F.round(F.when(F.col("sd") > 0, (F.col("x") - F.col("mean")) / F.col("sd")).otherwise(0.0), 6).alias("z")))(
     (lambda v: v.join(F.broadcast(v.groupBy("label").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))), "label"))(table(s, d, "embeddings").select("vec_id", "label", F.element_at("embedding", 1).cast("double").alias("x")))),
     "select vec_id, round((x - avg(x) over w) / stddev_pop(x) over w, 6) + 0.0 as z from (select vec_id, label, embedding[1]::double as x from embeddings) window w as (partition by label)")
@@ -133,10 +131,6 @@ add("j8_ece", lambda s, d: reliability(_score(s, d), 10).agg(F.round(F.sum(F.col
     f"with {_S}, b as (select floor(p * 10)::int as bin, count(*) as n, avg(p) as score, avg(label) as rate from s where p < 1 group by 1) select round(sum(n * abs(score - rate)) / sum(n), 6) as ece from b")
 add("j13_tier_calibration", lambda s, d: _score(s, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 9).alias("score"), F.avg("label").alias("rate"), F.count_if((F.col("p") > 0.9) | (F.col("p") < 0.1)).alias("confident")),
     f"with {_S} select lang, count(*) as n, round(avg(p), 9) as score, avg(label) as rate, count(*) filter (p > 0.9 or p < 0.1) as confident from s group by 1")
-add("j15_signatures", lambda s, d: table(s, d, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x")).groupBy("label", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"), F.count(F.lit(1)).alias("n")),
-    "select label, dim::int as dim, round(avg(x::double), 6) as mean, count(*) as n from (select label, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as dim from embeddings) group by 1, 2")
-add("j19_icc", lambda s, d: (lambda g: g.agg(F.round(F.var_samp("mean"), 6).alias("between"), F.round(F.avg("var"), 6).alias("within")))(events(s, d).groupBy("match_id").agg(F.avg("cost").alias("mean"), F.var_samp("cost").alias("var"))),
-    "select round(var_samp(mean), 6) as between, round(avg(v), 6) as within from (select avg(cost) as mean, var_samp(cost) as v from e group by match_id)", "e")
 add("j23_tilt", lambda s, d: matches(s, d).withColumn("losses", F.sum(O.is_("loss")).over(Window.partitionBy("entity").orderBy("ts", "match_id").rowsBetween(-9, 0))).select("entity", "match_id", "losses", F.when(F.col("losses") >= 7, "tilted").when(F.col("losses") >= 5, "warning").otherwise("calm").alias("level")),
     "select entity, match_id, k as losses, case when k >= 7 then 'tilted' when k >= 5 then 'warning' else 'calm' end as level from (select *, sum((result = 'loss')::int) over (partition by entity order by ts, match_id rows between 9 preceding and current row)::bigint as k from m)", "m")
 add("j25_scan_features", lambda s, d: table(s, d, "embeddings").select(F.posexplode("embedding").alias("dim", "x")).groupBy("dim").agg(F.count_if(F.isnan("x") | F.col("x").isNull()).alias("bad"), F.min("x").alias("low"), F.max("x").alias("high")),
@@ -151,5 +145,3 @@ add("i10_wp_summary", lambda s, d: _delta(s, d).groupBy("match_id").agg(F.min_by
 add("e21_impact_by_side", lambda s, d: _delta(s, d).groupBy("item", "side").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("wpa"), 6).alias("impact")), f"with {_W} select item, side, count(*) as n, round(sum(wpa), 6)::double as impact from w group by 1, 2", "e")
 add("e18_cluster_profile", lambda s, d: table(s, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("vec_id") % 2).cast("double")).alias("rate"), F.count_distinct(F.col("vec_id") % 7).alias("classes")),
     "select label, count(*) as n, avg((vec_id % 2)::double) as rate, count(distinct vec_id % 7) as classes from embeddings group by 1")
-add("j12_drift", lambda s, d: (lambda x: x.orderBy(F.desc("doc_id")).limit(200).agg(F.avg("hit").alias("newest")).join(F.broadcast(x.agg(F.avg("hit").alias("whole")))))(_score(s, d).select("doc_id", F.when((F.col("p") >= 0.5).cast("int") == F.col("label"), 1.0).otherwise(0.0).alias("hit"))),
-    f"with {_S}, h as (select doc_id, ((p >= 0.5)::int = label)::int::double as hit from s) select (select avg(hit) from (select hit from h order by doc_id desc limit 200)) as newest, (select avg(hit) from h) as whole")
