@@ -180,11 +180,12 @@ def pieces(path: str | None = None) -> list[bytes]:
     return out
 
 
-def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+def decode(encoded: DataFrame, path: str | None = None, digest: bool = False) -> DataFrame:
     """(doc_id, ids, text) for encoded(doc_id, ids): each id joined to its piece, pieces laid end to end and read as UTF-8.
 
     The table of pieces is bounded by the vocabulary, so the join is a map-side one. Null ids give an empty text, ids outside the
-    vocabulary nothing, malformed UTF-8 the replacement character.
+    vocabulary nothing, malformed UTF-8 the replacement character. With digest, ids_sha256 is that of the ids as little-endian 32-bit
+    numbers, taken in the same task.
     """
     spark, table_of = encoded.sparkSession, pieces(path)
     sent = spark.sparkContext.broadcast(np.array([*table_of, b""], dtype=object))
@@ -197,21 +198,20 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             for ids in pdf["ids"]:
                 i = np.asarray([] if ids is None else ids, np.int64)
                 texts.append(b"".join(lookup[np.where((i < 0) | (i > last), last, i)].tolist()).decode("utf-8", "replace"))
-            yield pdf.assign(text=texts)
+            out = pdf.assign(text=texts)
+            if digest:
+                out["ids_sha256"] = [hashlib.sha256(np.asarray([] if i is None else i, "<u4").tobytes()).hexdigest() for i in pdf["ids"]]
+            yield out
 
     kind = dict(encoded.dtypes)["doc_id"]
-    return encoded.select("doc_id", "ids").mapInPandas(run, f"doc_id {kind}, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInPandas(run, f"doc_id {kind}, ids array<int>, text string" + ", ids_sha256 string" * digest)
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
 
-    @F.pandas_udf("string")
-    def digest(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda i: hashlib.sha256(np.asarray(i, "<u4").tobytes()).hexdigest())
-
-    both = decode(encode(table(spark, sf_dir, "documents"), stable=True))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest("ids").alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    both = decode(encode(table(spark, sf_dir, "documents"), stable=True), digest=True)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
 QUERIES = {"op1_bpe_round_trip": op1_bpe_round_trip}
