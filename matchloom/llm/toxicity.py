@@ -21,6 +21,8 @@ from .common import chunks, table
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4, 5)
 #: The bound of the training sample in documents, the passes over it (more if they would make fewer than STEPS steps), and the rest of the training.
 SAMPLE, EPOCHS, STEPS, RATE, BATCH = 5000, 6, 900, 0.5, 32
+#: Characters that a text of the training sample may have, so that the sample's size has a bound; scoring reads whole texts of any length.
+SAMPLE_CHARS = 50_000
 #: Documents that a bucket must occur in to get a vector (at least MIN_DOCS, and one in RARE of the sample), and the pull of vectors towards zero.
 MIN_DOCS, RARE, DECAY = 3, 300, 1e-3
 #: Averages are small beside single vectors; the classifier works on SCALE times the average.
@@ -125,7 +127,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """The model from at most `sample` labelled documents that are not held out, those of the smallest hash of id and text.
+    """The model from at most `sample` labelled documents that are not held out, those of the smallest hash of the id, of fewer than SAMPLE_CHARS characters.
 
     A document with several labels counts as toxic if one says so; null labels, ids and texts are left out.
     """
@@ -140,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
         docs.where("doc_id is not null and text is not null")
         .select("doc_id", F.col("text").cast("string").alias("text"))
         .join(F.broadcast(thin), "doc_id")
-        .where(F.length("text") < 50_000)
+        .where(F.length("text") < SAMPLE_CHARS)
         .orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id", "text")
         .limit(sample)
         .select("text", "toxic")
@@ -167,7 +169,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 values, bias = fitted
                 for k, t in enumerate(pdf["text"]):
                     words = words_of(t)
-                    if len(memo) > 400_000:
+                    if len(memo) > 200_000:
                         memo.clear()
                     total, n = 0.0, 0
                     for w in words:
