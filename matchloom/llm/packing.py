@@ -43,7 +43,7 @@ class _Tokens:
     tokenizer's pattern; the words go to its model in one call. Strings with characters that Python does not know go to the tokenizer.
     """
 
-    LIMIT = 300_000
+    LIMIT = 500_000
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     TAIL = re.compile(r"(?<=[^\W_])([.,;:!?])(?!\S)")
 
