@@ -45,7 +45,8 @@ class _Tokens:
 
     LIMIT = 500_000
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-    TAIL = re.compile(r"(?<=[^\W_])([.,;:!?])(?!\S)")
+    #: The mark comes first, as the search then looks at marks alone.
+    TAIL = re.compile(r"[.,;:!?](?<=[^\W_].)(?!\S)")
 
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
@@ -58,7 +59,9 @@ class _Tokens:
         self.last[[i for piece, i in self.tok.get_vocab(with_added_tokens=False).items() if piece.endswith("</w>")]] = True
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         #: The model takes bytes as printable stand-ins.
-        self.stands = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
+        self.stands = np.arange(256, dtype="<u4")
+        other = np.setdiff1d(np.arange(256), [0x20, *printable])
+        self.stands[other] = 0x100 + np.arange(len(other)) + (other > 0x20)  # the space, which has a stand-in too, parts words here
         self.memo: dict[str, bytes] = {}
         #: Texts with these go to the tokenizer whole: special tokens, and separators that only Python takes as white space.
         self.odd = [t.content for t in self.tok.get_added_tokens_decoder().values()] + ["\x1c", "\x1d", "\x1e", "\x1f"]
@@ -73,12 +76,12 @@ class _Tokens:
             low = text.lower()
         else:  # of sigmas the tokenizer knows one lower case alone
             low = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
-        return self.TAIL.sub(r" \1", low).split()
+        return self.TAIL.sub(r" \g<0>", low).split()
 
     def learn_words(self, words: list[str]) -> None:
         plain = " ".join(words)
         if not (plain.isascii() and plain.isprintable()):
-            plain = plain.encode().decode("latin-1").translate({**self.stands, 0x20: 0x20})
+            plain = self.stands[np.frombuffer(plain.encode(), np.uint8)].tobytes().decode("utf-32-le")
         ids = np.array(self.model.encode_batch_fast([plain], add_special_tokens=False)[0].ids, "<u4")
         end = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
         raw, memo, a = ids.tobytes(), self.memo, 0
@@ -88,9 +91,16 @@ class _Tokens:
 
     def learn(self, strings: set[str]) -> None:
         memo = self.memo
-        odd = {x for x in strings if not x.isascii() and not {*map(unicodedata.category, x)}.isdisjoint(("Cn", "Cs"))}
-        cut = [(x, self.PATTERN.findall(x)) for x in strings - odd if not x.isalpha()]
-        words = {x for x in strings - odd if x.isalpha()} | {w for _, found in cut for w in found if w not in memo}
+        unknown = {x for x in set("".join(strings)) if unicodedata.category(x) in ("Cn", "Cs")}
+        odd = {x for x in strings if not unknown.isdisjoint(x)} if unknown else set()
+        words, cut = set(), []
+        for x in strings - odd if odd else strings:
+            if x.isalpha():
+                words.add(x)
+            else:
+                found = self.PATTERN.findall(x)
+                cut.append((x, found))
+                words.update(w for w in found if w not in memo)
         if words:
             self.learn_words(list(words))
         for x, found in cut:
