@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from .common import shared_dir, table
 
@@ -48,62 +49,109 @@ class ByteTokens:
     """Token ids of whole texts by a byte-level BPE tokenizer, each string between lone spaces encoded once and remembered.
 
     A space with a character that is no white space beside it begins a word of the tokenizer's pattern, so texts can be cut there. Plain
-    words go to the tokenizer's model alone; strings of anything else go to the tokenizer itself, as do texts with special tokens.
+    words, with marks at their end or not, go to the tokenizer's model, many in one call; strings of anything else go to the tokenizer
+    itself, as do texts with special tokens. Strings are remembered without the space before them.
     """
 
-    LIMIT = 400_000
-    LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-    PART = re.compile(rf" ?[{LETTERS}]+|[.,;:!?]+|(?<!\s)\n(?!\s)")
-    BESIDE, CUT = re.compile(r"\s \s"), re.compile(r"(?<=\S)(?= \S)")
+    #: Strings remembered in a generation. Two are kept: what the older one knows moves to the newer one when it is met again.
+    LIMIT = 350_000
+    WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+    #: A run of these after letters is one word of the tokenizer's pattern; with an apostrophe it may not be.
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    #: Two words at the end of a line and the beginning of the next.
+    LINES = re.compile(rf"([A-Za-zÀ-ÖØ-öø-ɏ]+)([{re.escape(MARKS)}]*)\n([A-Za-zÀ-ÖØ-öø-ɏ]+)([{re.escape(MARKS)}]*)")
+    BESIDE, CUT = re.compile(r"\s \s"), re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.model = self.tok.model
+        #: The model alone, for words that are cut already. It takes bytes as printable stand-ins.
+        self.model = Tokenizer(self.tok.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        # the model takes bytes as printable stand-ins
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        self.stands = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
+        self.stands = np.arange(256, dtype="<u4")
+        other = np.setdiff1d(np.arange(256), printable)
+        self.stands[other] = 0x100 + np.arange(len(other))
+        self.space = chr(int(self.stands[0x20]))
+        #: Whether an id begins with a space, which words have at their start alone.
+        self.first = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.first[[i for piece, i in vocabulary.items() if piece.startswith(self.space)]] = True
+        self.line = vocabulary[chr(int(self.stands[0x0A]))]
+        self.dtype = np.dtype("<u2" if len(self.first) <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        plain = word.encode().decode("latin-1").translate(self.stands)
-        return np.array([t.id for t in self.model.tokenize(plain)], "<u4").tobytes()
-
-    def _learn(self, strings) -> None:
-        memo = self.memo
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _model(self, words: list[str], between: str) -> np.ndarray:
+        """The model's ids of `between`, a word, `between`, the next word and so on; stand-ins of spaces and line ends are its own."""
+        plain = "\n".join(words)
+        if not plain.isascii():
+            plain = self.stands[np.frombuffer(plain.encode(), np.uint8)].tobytes().decode("utf-32-le").replace(chr(int(self.stands[0x0A])), "\n")
+        return np.array(self.model.encode_batch_fast([between + plain.replace("\n", between)], add_special_tokens=False)[0].ids, self.dtype)
+
+    def _learn_words(self, words: list[str], bare: list[str]) -> dict[str, bytes]:
+        """Remembers words of letters with a space before each; returns the ids of the bare ones, which have none. Ids that begin with a space, or are a line's end, part the words again."""
+        out, size = {}, self.dtype.itemsize
+        for some, between, memo in ((words, " " + self.space, self.memo), (bare, f" {chr(int(self.stands[0x0A]))} ", out)):
+            for k in range(0, len(some), 20_000):
+                part = some[k : k + 20_000]
+                ids = self._model(part, between)
+                raw = ids.tobytes()
+                begin = np.flatnonzero(self.first[ids] if memo is self.memo else ids == self.line)
+                end = (np.append(begin[1:], len(ids)) * size).tolist()
+                begin = ((begin + (memo is out)) * size).tolist()
+                memo.update((w, raw[a:b]) for w, a, b in zip(part, begin, end, strict=True))
+        return out
+
+    def _learn(self, strings: set[str]) -> None:
+        memo, word, lines = self.memo, self.WORD.fullmatch, self.LINES.fullmatch
+        words, marked, broken, rest = set(), [], [], []
         for s in strings:
-            parts = self.PART.findall(s)
-            if sum(map(len, parts)) != len(s):
-                memo[s] = self.whole(s)
+            if word(s):
+                words.add(s)
                 continue
-            for p in parts:
-                if p not in memo:
-                    memo[p] = self._word(p)
-            if len(parts) != 1:
-                memo[s] = b"".join([memo[p] for p in parts])
+            w = s.rstrip(self.MARKS)
+            if w and word(w):
+                marked.append((s, w, s[len(w) :]))
+                words.add(w)
+            elif m := lines(s):
+                broken.append((s, *m.groups()))
+                words.add(m[1])
+            else:
+                rest.append(s)
+        bare = self._learn_words(list(words.difference(memo)), list({x[3] for x in broken}))
+        memo.update(zip(rest, self._encode([" " + s for s in rest])))
+        marks = dict.fromkeys(m for _, _, m in marked) | dict.fromkeys(m for x in broken for m in (x[2], x[4])) | {"\n": None}
+        marks = dict(zip(marks, self._encode(list(marks))))
+        for s, w, m in marked:
+            memo[s] = memo[w] + marks[m]
+        for s, w, m, v, n in broken:
+            memo[s] = memo[w] + marks[m] + marks["\n"] + bare[v] + marks[n]
 
     def _strings(self, text: str) -> list[str] | None:
         if any(s in text for s in self.special):
             return None
-        if self.BESIDE.search(text):
-            return self.CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *(" " + s for s in rest)]
+        return self.CUT.split(text) if self.BESIDE.search(text) else text.split(" ")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """ids as little-endian unsigned 32-bit numbers."""
         if len(self.memo) > self.LIMIT:
-            self.memo.clear()
+            self.old, self.memo = self.memo, {}
         parts = [self._strings(t) for t in texts]
-        self._learn(set().union(*(p for p in parts if p)).difference(self.memo))
+        missing = set().union(*(p[1:] for p in parts if p)).difference(self.memo)
+        known = self.old.keys() & missing
+        self.memo.update((s, self.old[s]) for s in known)
+        self._learn(missing - known)
+        heads = iter(self._encode([t if p is None else p[0] for t, p in zip(texts, parts)]))  # no space is before these
         get = self.memo.__getitem__
-        return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
+        out = (next(heads) + b"".join(map(get, p[1:] if p else ())) for p in parts)
+        return [np.frombuffer(x, self.dtype).astype("<u4").tobytes() for x in out]
 
 
 _TOKENS: dict[str, ByteTokens] = {}
