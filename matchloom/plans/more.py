@@ -142,10 +142,10 @@ def resource_at_events(e: DataFrame) -> DataFrame:
 
 
 _SPENT = "select event_id, tick, match_id, sum(case when side = 'team' then cost else 0 end) over w::bigint as own, sum(case when side = 'opponent' then cost else 0 end) over w::bigint as other from e window w as (partition by match_id order by tick, event_id rows unbounded preceding)"
-add("c14_resource_at_events", lambda s, d: resource_at_events(events(s, d)), f"select event_id, own, other, other - own as differential from ({_SPENT})".replace(" over w::bigint", " over w"), "e")
-add("c15_average_differential", lambda s, d: resource_at_events(events(s, d)).join(events(s, d).select("event_id", "match_id", F.floor(F.col("tick") / 500).alias("step")), "event_id").groupBy("step").agg(F.avg("differential").alias("mean"), F.count_distinct("match_id").alias("n")).where("n >= 2"),
+add("c14_running_spend", lambda s, d: resource_at_events(events(s, d)), f"select event_id, own, other, other - own as differential from ({_SPENT})".replace(" over w::bigint", " over w"), "e")
+add("c15_spend_differential", lambda s, d: resource_at_events(events(s, d)).join(events(s, d).select("event_id", "match_id", F.floor(F.col("tick") / 500).alias("step")), "event_id").groupBy("step").agg(F.avg("differential").alias("mean"), F.count_distinct("match_id").alias("n")).where("n >= 2"),
     f"select tick // 500 as step, avg(other - own) as mean, count(distinct match_id) as n from ({_SPENT}) group by 1 having count(distinct match_id) >= 2".replace(" over w::bigint", " over w"), "e")
-add("c12_resource_curve", lambda s, d: S.active_curve(events(s, d), 0, 500).groupBy("match_id", "side").agg(F.count(F.lit(1)).alias("steps"), F.max("alive").alias("most")),
+add("c12_plays_per_step", lambda s, d: S.active_curve(events(s, d), 0, 500).groupBy("match_id", "side").agg(F.count(F.lit(1)).alias("steps"), F.max("alive").alias("most")),
     "select match_id, side, count(*) as steps, max(n) as most from (select match_id, side, tick // 500 as k, count(*) as n from e group by all) group by 1, 2", "e")
 _AB = "x as (select event_id, match_id, tick, match_id % 2 as won, (k + 1) / 102 as pa, (k % 50 + 1) / 52 as pb from e)"
 add("j11_ab_eval", lambda s, d: events(s, d).select("match_id", "tick", (F.col("match_id") % 2).alias("won"), F.explode(F.array(F.struct(F.lit("a").alias("model"), ((F.col("k") + 1) / 102).alias("p")), F.struct(F.lit("b").alias("model"), ((F.col("k") % 50 + 1) / 52).alias("p")))).alias("z")).groupBy("z.model").agg(
