@@ -1,4 +1,4 @@
-"""Model operators on MLlib: reduction, clustering, classifiers, calibration, swaps; neighbours and bootstrap in DataFrames."""
+"""Model operators on MLlib: reduction, clustering, classifiers, calibration, swaps; bootstrap in DataFrames."""
 
 from __future__ import annotations
 
@@ -85,15 +85,3 @@ def bootstrap_mean(df: DataFrame, value: str, key: str, n: int, seed: int) -> Da
     reps = df.select(key, value, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("replicate")).withColumn("w", weight)
     means = reps.groupBy("replicate").agg((F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias("mean"))
     return means.agg(F.avg("mean").alias("mean"), F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
-
-
-def knn(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query, rank, vec_id, distance): the k nearest points of each of a stated, bounded set of queries, ties to the smaller id.
-
-    Queries are written out as columns of a broadcast whose size the caller bounds; every task keeps its k best a query.
-    """
-    q = queries.select(F.col("vec_id").alias("query"), F.col("embedding").cast("array<double>").alias("q"))
-    square = F.aggregate(F.zip_with("q", F.col("embedding").cast("array<double>"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    pairs = points.crossJoin(F.broadcast(q)).where("query != vec_id").select("query", "vec_id", F.sqrt(square).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "vec_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -17,23 +17,6 @@ QUERIES, ORACLE = reg.queries, reg.oracle
 add = reg.add
 
 
-def similar_within_class(v: DataFrame, q: DataFrame, k: int) -> DataFrame:
-    """For each query row its k nearest rows of its own class, with a Gaussian similarity around the median distance of those k."""
-    a = q.select("label", F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
-    gap = F.aggregate(F.zip_with("q", "embedding", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    d = v.join(F.broadcast(a), "label").where("query != vec_id").select("query", "vec_id", F.sqrt(gap).alias("distance"))
-    top = O.top_k(d, ["query"], [F.col("distance"), F.col("vec_id")], k)
-    sigma = top.groupBy("query").agg(F.percentile("distance", F.lit(0.5)).alias("sigma"))
-    return top.join(F.broadcast(sigma), "query").select("query", "rank", "vec_id", F.round(X.gauss_similarity("distance", "sigma"), 6).alias("similarity"))
-
-
-add("j2_similar", lambda s, d: similar_within_class(table(s, d, "embeddings"), O.top_k(table(s, d, "embeddings"), ["label"], [F.col("vec_id")], 1), 5),
-    """with q as (select label, min(vec_id) as id from embeddings group by label), p as (select q.id as query, e.vec_id, list_distance(e.embedding::double[], x.embedding::double[]) as dist
-from q join embeddings x on x.vec_id = q.id join embeddings e on e.label = q.label where e.vec_id != q.id),
-t as (select *, row_number() over (partition by query order by dist, vec_id)::int as rank from p qualify rank <= 5), g as (select query, quantile_cont(dist, 0.5) as sigma from t group by query)
-select query, rank, vec_id, round(exp(-dist * dist / (2 * sigma * sigma)), 6) as similarity from t join g using (query)""")
-
-
 def nemesis(m: DataFrame, b: DataFrame) -> DataFrame:
     """Per category of own basket: record against the most frequent opponent of each entity."""
     top = O.top_k(m.groupBy("entity", "opponent").agg(F.count_if(F.expr("result = 'loss'")).alias("lost")), ["entity"], [F.desc("lost"), F.col("opponent")], 1).select("entity", "opponent")

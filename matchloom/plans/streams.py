@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import expressions as X
 from ..operators import models as M
+from ..operators import neighbours as B
 from ..operators import outcomes as O
 from ..sources import ingest as I
+from ..sources.shared import shared_path as shared
 from ..sources.views import events, matches, table
 from ..streaming import streams as K
 from .register import Registry
@@ -20,12 +20,6 @@ QUERIES, ORACLE = reg.queries, reg.oracle
 add = reg.add
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; a local one only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parq*t").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -76,13 +70,27 @@ add("k11_enrich", lambda s, d: drained(K.enrich(event_stream(s, d).select("event
 
 # --- vectors and models ------------------------------------------------------------------------------------------------
 
-_first = lambda s, d: O.top_k(table(s, d, "embeddings"), ["label"], [F.col("vec_id")], 1)  # one query a label
-add("j1_knn", lambda s, d: M.knn(table(s, d, "embeddings").select("vec_id", "embedding"), _first(s, d), 5).select("query", "rank", "vec_id"),
-    """with q as (select label, min(vec_id) as id from embeddings group by label), p as (select q.id as query, e.vec_id, list_distance(e.embedding::double[], x.embedding::double[]) as dist from q join embeddings x on x.vec_id = q.id, embeddings e where e.vec_id != q.id)
-select query, row_number() over (partition by query order by dist, vec_id)::int as rank, vec_id from p qualify rank <= 5""")
-add("g8_knn_gap", lambda s, d: M.knn(table(s, d, "embeddings").select("vec_id", "embedding"), _first(s, d), 5).groupBy("query").agg((F.percentile("vec_id", F.lit(0.5)) - F.col("query")).alias("gap")),
-    """with q as (select label, min(vec_id) as id from embeddings group by label), p as (select q.id as query, e.vec_id, list_distance(e.embedding::double[], x.embedding::double[]) as dist from q join embeddings x on x.vec_id = q.id, embeddings e where e.vec_id != q.id)
-select query, quantile_cont(vec_id, 0.5) - query as gap from (select * from p qualify row_number() over (partition by query order by dist, vec_id) <= 5) group by query""")
+_every_50th = lambda s, d: table(s, d, "embeddings").where("vec_id % 50 = 0")  # the stated queries, against all rows
+_DISTANCES = "p as (select x.vec_id as query, e.vec_id, e.label, list_distance(e.embedding::double[], x.embedding::double[]) as dist from embeddings x, embeddings e where x.vec_id % 50 = 0 and e.vec_id != x.vec_id)"
+add("j1_knn", lambda s, d: B.nearest(table(s, d, "embeddings"), _every_50th(s, d), 10).select("query", "rank", "vec_id", F.round("distance", 9).alias("distance")),
+    f"with {_DISTANCES} select query, row_number() over (partition by query order by dist, vec_id)::int as rank, vec_id, round(dist, 9) as distance from p qualify rank <= 10")
+add("g8_knn_gap", lambda s, d: B.nearest(table(s, d, "embeddings"), _every_50th(s, d), 10).groupBy("query").agg((F.percentile("vec_id", F.lit(0.5)) - F.col("query")).alias("gap")),
+    f"""with {_DISTANCES} select query, quantile_cont(vec_id, 0.5) - query as gap from (select * from p qualify row_number() over (partition by query order by dist, vec_id) <= 10) group by query""")
+
+
+def similar(s: SparkSession, d: str) -> DataFrame:
+    """The 5 nearest rows of each label, their similarity by a Gaussian as wide as the median distance of all found, and whether the label is the query's own."""
+    e = table(s, d, "embeddings")
+    near = B.nearest(e, e.where("vec_id % 50 = 0"), 5, group="label").withColumn("label", F.col("grp").cast("int"))
+    sigma = near.groupBy("query").agg(F.percentile("distance", F.lit(0.5)).alias("sigma"))
+    own = e.select(F.col("vec_id").alias("query"), F.col("label").alias("own"))
+    out = near.join(sigma, "query").join(own, "query")
+    return out.select("query", "label", "rank", "vec_id", F.round(X.gauss_similarity("distance", "sigma"), 6).alias("similarity"), (F.col("label") == F.col("own")).alias("same"))
+
+
+add("j2_similar", similar,
+    f"""with {_DISTANCES}, t as (select *, row_number() over (partition by query, label order by dist, vec_id)::int as rank from p qualify rank <= 5), g as (select query, quantile_cont(dist, 0.5) as sigma from t group by query)
+select query, t.label, rank, t.vec_id, round(exp(-dist * dist / (2 * sigma * sigma)), 6) as similarity, t.label = o.label as same from t join g using (query) join embeddings o on o.vec_id = query""")
 _v = lambda s, d: M.with_vector(table(s, d, "embeddings"))
 add("j3_reduce", lambda s, d: M.reduce_dimensions(_v(s, d), 3)[1].select("vec_id", M.vector_to_array("reduced").alias("reduced")))
 add("j4_cluster", lambda s, d: M.cluster(_v(s, d), 8, 0.05).select("vec_id", "cluster", F.round("distance", 6).alias("distance")))
