@@ -9,6 +9,7 @@ from ..functions import expressions as X
 from ..operators import baskets as B
 from ..operators import dimensions as D
 from ..operators import outcomes as O
+from ..operators import ranges
 from ..sources.views import events, matches, rosters, table
 from .register import Registry
 
@@ -108,16 +109,7 @@ def _score(s, d):
 _S = "s as (select doc_id, least(n_chars, 5000) / 5000 as p, quality as label, lang from documents join labels using (doc_id))"
 
 
-def auc(df, score, label):
-    """Rank AUC with mean ranks for ties; ranks come from counts per score, so no partition holds all rows in order but one a distinct score."""
-    by = df.groupBy(score).agg(F.sum(label).alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = by.withColumn("before", F.coalesce(F.sum(F.col("n") - F.col("pos")).over(w), F.lit(0)))
-    wins = F.sum(F.col("pos") * (F.col("before") + 0.5 * (F.col("n") - F.col("pos"))))
-    return below.agg(F.round(wins / (F.sum("pos") * F.sum(F.col("n") - F.col("pos"))), 9).alias("auc"))
-
-
-add("j9_auc", lambda s, d: auc(_score(s, d), "p", "label"),
+add("j9_auc", lambda s, d: ranges.auc(_score(s, d), "p", F.col("label") == 1).select(F.round("auc", 9).alias("auc")),
     f"with {_S}, g as (select p, sum(label) as pos, count(*) as n from s group by p), w as (select *, coalesce(sum(n - pos) over (order by p rows between unbounded preceding and 1 preceding), 0) as b from g) select round(sum(pos * (b + 0.5 * (n - pos))) / (sum(pos) * sum(n - pos)), 9)::double as auc from w")
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import core, evaluation, more, resources, sequence, state, streams
+from .plans import core, evaluation, more, resources, sequence, signatures, state, streams
 
-MODULES = [core, sequence, state, streams, more, evaluation, resources]
+MODULES = [core, sequence, state, streams, more, evaluation, resources, signatures]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
