@@ -7,9 +7,10 @@ alone. What owns what can be read off the chunk, so the corpus is its dictionary
 were parsed. Phrases are counted inside distinct chunks, times the chunk's count, each from the words that the chunk owns.
 
 Counting goes twice over the dictionary. First, blocks of chunks ask for the sums of narrow hashes of their phrases: the fragment that
-holds a range of hashes sees all blocks' counts of it and answers with one bit each, whether the sum reaches the least count. A
-hash can stand for several phrases, so this finds too many at worst. Then blocks write out the phrases with such hashes with
-their own counts, which are summed by phrase: counts are exact, and what is rare is never a row.
+holds a range of hashes sees all blocks' counts of it and answers whether the sum reaches the least count, and whether the block is the
+first that asked. A narrow hash can stand for several phrases, so this finds too many at worst. Then blocks send the counts of
+phrases with such hashes under hashes of 64 bits, packed, and the texts of those that they asked for first. So what is
+rare is never a row, and what is frequent is one row, not one a block.
 """
 
 from __future__ import annotations
@@ -211,8 +212,8 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     blocks = _blocks(dictionary(docs, longest, every))
     chars = blocks.agg(F.sum("raw")).first()[0] or 0  # one number
     parts = fragments(blocks, 2.0)
-    # wide enough for one phrase in some thousands to share a hash with a frequent one; a bit more for every doubling of the corpus
-    bits = min(64, max(32, parts + 8, math.ceil(math.log2(chars + 1)) + 6))
+    # wide enough for hardly two frequent phrases to share a hash; a bit more for every doubling of the corpus
+    bits = min(64, max(32, parts + 8, math.ceil(math.log2(chars + 1)) + 8))
 
     def ask(batches):
         for pdf in batches:
@@ -225,25 +226,53 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
                 yield pd.DataFrame(out, columns=["frag", "block", "keys", "counts"])
 
     def answer(pdf):
+        pdf = pdf.sort_values("block")
         keys = [_unplanes(b) for b in pdf["keys"]]
-        _, where = np.unique(np.concatenate(keys), return_inverse=True)
+        _, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         total = np.bincount(where, weights=np.concatenate([np.frombuffer(b, "<u4") for b in pdf["counts"]]))
         hit = (total >= least)[where]
+        mine = np.zeros(len(hit), bool)
+        mine[first[total >= least]] = True
         end = np.cumsum([len(k) for k in keys])
-        return pd.DataFrame({"block": pdf["block"], "frag": pdf["frag"], "n": [len(k) for k in keys], "hits": [np.packbits(hit[e - len(k) : e]).tobytes() for k, e in zip(keys, end)]})
+        bits_of = lambda x: [np.packbits(x[e - len(k) : e]).tobytes() for k, e in zip(keys, end)]
+        return pd.DataFrame({"block": pdf["block"], "frag": pdf["frag"], "n": [len(k) for k in keys], "hits": bits_of(hit), "mine": bits_of(mine)})
 
-    def use(row, right):
+    def use(row, right, every_text: bool = False):
         p = _Phrases(row, longest, every)
         _, where = _cut(p.key, bits)
-        hit = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(right["hits"], right["n"])]) if len(right) else np.zeros(0, np.uint8)
-        i = np.flatnonzero(hit[where] > 0) if len(where) else np.zeros(0, np.int64)
-        langs = [p.names[k] for k in p.lang[i].tolist()]
-        return pd.DataFrame({"lang": [*langs, *p.names], "phrase": [*p.text(i), *[""] * len(p.names)], "words": np.concatenate((p.size[i], np.zeros(len(p.names), np.int64))).astype(np.int32), "f": np.concatenate((p.count[i], p.words))})
+        read = lambda c: np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(right[c], right["n"])]).astype(bool)[where]
+        hit = np.flatnonzero(read("hits")) if len(where) else where
+        out = []
+        if not every_text:
+            for f, a, b in segments(p.key[hit], parts):
+                out.append((f, _planes(p.key[hit[a:b]]), p.count[hit[a:b]].view(np.uint8).reshape(-1, 8).T.tobytes(), None, None, None, None, None))
+            out += [(-1, None, None, None, x, "", 0, n) for x, n in zip(p.names, p.words.tolist())]
+            hit = np.flatnonzero(read("mine")) if len(where) else where
+        langs = [p.names[k] for k in p.lang[hit].tolist()]
+        out += [(-1, None, None, *x, None) for x in zip(p.key[hit].view(np.int64).tolist(), langs, p.text(hit), p.size[hit].tolist())]
+        return pd.DataFrame(out, columns=["frag", "keys", "counts", "key", "lang", "phrase", "words", "f"]).astype(object)
+
+    def add(pdf):
+        keys, where = np.unique(np.concatenate([_unplanes(b) for b in pdf["keys"]]), return_inverse=True)
+        counts = np.concatenate([np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.int64).ravel() for b in pdf["counts"]])
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, where, counts)
+        return pd.DataFrame({"key": keys.view(np.int64), "f": total})[total >= least]
 
     asked = blocks.mapInPandas(ask, "frag int, block long, keys binary, counts binary")
-    answers = asked.groupBy("frag").applyInPandas(answer, "block long, frag int, n int, hits binary")
-    own = with_answers(blocks, answers, use, "lang string, phrase string, words int, f long")
-    return own.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0))
+    answers = written(asked.groupBy("frag").applyInPandas(answer, "block long, frag int, n int, hits binary, mine binary"), "answers")
+    schema = "frag int, keys binary, counts binary, key long, lang string, phrase string, words int, f long"
+    own = written(with_answers(blocks, answers, use, schema), "own-phrases")
+    totals = own.where("frag >= 0").select("frag", "keys", "counts").groupBy("frag").applyInPandas(add, "key long, f long")
+    text = lambda df: df.where("words > 0").select("key", "lang", "phrase", "words")
+    found = written(totals.join(text(own), "key", "left"), "frequent-phrases")
+    out = found.where("phrase is not null").select("lang", "phrase", "words", "f")
+    lost = found.where("phrase is null").select("key", "f")
+    if not lost.isEmpty():  # two frequent phrases share a narrow hash, and another block asked for it first: all blocks give their texts
+        again = text(with_answers(blocks, answers, lambda row, right: use(row, right, True), schema)).dropDuplicates(["key"])
+        out = out.unionByName(lost.join(again, "key").select("lang", "phrase", "words", "f"))
+    sums = own.where("words = 0").groupBy("lang").agg(F.sum("f").alias("f"))
+    return out.unionByName(sums.select("lang", F.lit("").alias("phrase"), F.lit(0).alias("words"), "f"))
 
 
 def _joined(words: Column, begin, size) -> Column:
