@@ -57,7 +57,8 @@ def silence(df: DataFrame, ts: str, entity: str, minutes: int, delay: str) -> Da
                 last = max(at, last or at)
             state.update((int(last),))
             state.setTimeoutTimestamp(max(int(last) + limit, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[entity, "last", "kind"])
+        if out:
+            yield pd.DataFrame(out, columns=[entity, "last", "kind"])
 
     kind = dict(df.dtypes)[entity]
     return df.withWatermark(ts, delay).groupBy(entity).applyInPandasWithState(step, f"{entity} {kind}, last timestamp, kind string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
