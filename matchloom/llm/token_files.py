@@ -54,7 +54,7 @@ class ByteTokens:
     """
 
     #: Strings remembered in a generation. Two are kept: what the older one knows moves to the newer one when it is met again.
-    LIMIT = 350_000
+    LIMIT = 600_000
     WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
     #: A run of these after letters is one word of the tokenizer's pattern; with an apostrophe it may not be.
     MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -68,7 +68,9 @@ class ByteTokens:
         self.tok.no_truncation()
         self.tok.no_padding()
         #: The model alone, for words that are cut already. It takes bytes as printable stand-ins.
-        self.model = Tokenizer(self.tok.model)
+        model = self.tok.model
+        model._resize_cache(0)  # every word comes once
+        self.model = Tokenizer(model)
         self.model.pre_tokenizer = WhitespaceSplit()
         vocabulary = self.tok.get_vocab(with_added_tokens=True)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
