@@ -33,6 +33,12 @@ from .common import _BYTE, LOWER, _powers, as_bytes, mix, table, written
 LONGEST, LEAST, KEPT, SHARE = 5, 100, 2000, 100
 #: One in so many runs of words is a trigger; text gathered before its chunks are counted; a block of the dictionary.
 TRIGGER, GATHER_BYTES, DICTIONARY_BYTES = 16, 1 << 22, 1 << 21
+#: Phrases whose text is looked up at once, where another block was asked for it.
+LOST = 10_000
+#: Languages whose word counts are broadcast at most.
+LANGS = 10_000
+OWN = "frag int, keys binary, counts binary, key long, lang string, phrase string, words int, f long"
+COLUMNS = ["frag", "keys", "counts", "key", "lang", "phrase", "words", "f"]
 #: What parts words, and what parts pieces.
 GAP, STOP = np.zeros(256, bool), np.zeros(256, bool)
 STOP[[*b".,;:!?\n\x0b\x0c\r"]] = True
@@ -212,8 +218,8 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     blocks = _blocks(dictionary(docs, longest, every))
     chars = blocks.agg(F.sum("raw")).first()[0] or 0  # one number
     parts = fragments(blocks, 2.0)
-    # wide enough for hardly two frequent phrases to share a hash; a bit more for every doubling of the corpus
-    bits = min(64, max(32, parts + 8, math.ceil(math.log2(chars + 1)) + 8))
+    # frequent phrases are no more than words / least, so that at twice their bits hardly two share a hash; another block can then be the first to ask for one
+    bits = min(64, max(32, parts + 8, 2 * max(math.ceil(math.log2(chars / (2 * least) + 1)), 0) + 2))
 
     def ask(batches):
         for pdf in batches:
@@ -237,20 +243,32 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
         bits_of = lambda x: [np.packbits(x[e - len(k) : e]).tobytes() for k, e in zip(keys, end)]
         return pd.DataFrame({"block": pdf["block"], "frag": pdf["frag"], "n": [len(k) for k in keys], "hits": bits_of(hit), "mine": bits_of(mine)})
 
-    def use(row, right, every_text: bool = False):
+    def texts(p, i) -> list[tuple]:
+        langs = [p.names[k] for k in p.lang[i].tolist()]
+        return [(-1, None, None, *x, None) for x in zip(p.key[i].view(np.int64).tolist(), langs, p.text(i), p.size[i].tolist())]
+
+    def use(row, right):
         p = _Phrases(row, longest, every)
         _, where = _cut(p.key, bits)
         read = lambda c: np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(right[c], right["n"])]).astype(bool)[where]
-        hit = np.flatnonzero(read("hits")) if len(where) else where
-        out = []
-        if not every_text:
+        out = [(-1, None, None, None, x, "", 0, n) for x, n in zip(p.names, p.words.tolist())]
+        if len(where):
+            hit = np.flatnonzero(read("hits"))
             for f, a, b in segments(p.key[hit], parts):
                 out.append((f, _planes(p.key[hit[a:b]]), p.count[hit[a:b]].view(np.uint8).reshape(-1, 8).T.tobytes(), None, None, None, None, None))
-            out += [(-1, None, None, None, x, "", 0, n) for x, n in zip(p.names, p.words.tolist())]
-            hit = np.flatnonzero(read("mine")) if len(where) else where
-        langs = [p.names[k] for k in p.lang[hit].tolist()]
-        out += [(-1, None, None, *x, None) for x in zip(p.key[hit].view(np.int64).tolist(), langs, p.text(hit), p.size[hit].tolist())]
-        return pd.DataFrame(out, columns=["frag", "keys", "counts", "key", "lang", "phrase", "words", "f"]).astype(object)
+            out += texts(p, np.flatnonzero(read("mine")))
+        return pd.DataFrame(out, columns=COLUMNS).astype(object)
+
+    def look_up(wanted: np.ndarray):
+        """The texts of wanted phrases, from every block that holds them."""
+
+        def run(batches):
+            for pdf in batches:
+                for row in pdf.itertuples(index=False):
+                    p = _Phrases(row, longest, every)
+                    yield pd.DataFrame(texts(p, np.flatnonzero(np.isin(p.key.view(np.int64), wanted))), columns=COLUMNS).astype(object)
+
+        return run
 
     def add(pdf):
         keys, where = np.unique(np.concatenate([_unplanes(b) for b in pdf["keys"]]), return_inverse=True)
@@ -261,16 +279,16 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
 
     asked = blocks.mapInPandas(ask, "frag int, block long, keys binary, counts binary")
     answers = written(asked.groupBy("frag").applyInPandas(answer, "block long, frag int, n int, hits binary, mine binary"), "answers")
-    schema = "frag int, keys binary, counts binary, key long, lang string, phrase string, words int, f long"
-    own = written(with_answers(blocks, answers, use, schema), "own-phrases")
+    own = written(with_answers(blocks, answers, use, OWN), "own-phrases")
     totals = own.where("frag >= 0").select("frag", "keys", "counts").groupBy("frag").applyInPandas(add, "key long, f long")
     text = lambda df: df.where("words > 0").select("key", "lang", "phrase", "words")
     found = written(totals.join(text(own), "key", "left"), "frequent-phrases")
     out = found.where("phrase is not null").select("lang", "phrase", "words", "f")
     lost = found.where("phrase is null").select("key", "f")
-    if not lost.isEmpty():  # two frequent phrases share a narrow hash, and another block asked for it first: all blocks give their texts
-        again = text(with_answers(blocks, answers, lambda row, right: use(row, right, True), schema)).dropDuplicates(["key"])
+    while some := [r.key for r in lost.orderBy("key").limit(LOST).collect()]:  # two frequent phrases share a narrow hash, and another block was the first to ask
+        again = text(blocks.mapInPandas(look_up(np.array(some, np.int64)), OWN)).dropDuplicates(["key"])
         out = out.unionByName(lost.join(again, "key").select("lang", "phrase", "words", "f"))
+        lost = lost.where(F.col("key") > some[-1])
     sums = own.where("words = 0").groupBy("lang").agg(F.sum("f").alias("f"))
     return out.unionByName(sums.select("lang", F.lit("").alias("phrase"), F.lit(0).alias("words"), "f"))
 
@@ -288,6 +306,8 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, ke
     """
     f = written(frequent_phrases(docs, longest, least, every), "phrases")
     n = f.where("words = 0").select("lang", F.col("f").alias("n"))
+    if n.limit(LANGS + 1).count() <= LANGS:  # a language can have most of the phrases, so they are not dealt by it where its number fits every task
+        n = F.broadcast(n)
     candidates = f.where("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
     # every cut looks up the counts of its two parts
     cuts = candidates.select("lang", "phrase", "words", "a", "w", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
