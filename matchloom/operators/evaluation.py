@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 # Coefficients of Acklam's rational approximation of the inverse normal distribution.
 ACKLAM_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
 ACKLAM_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
@@ -29,6 +31,12 @@ def inverse_normal(p: Column) -> Column:
     return F.when(p < ACKLAM_LOW, tail(p)).when(p > 1 - ACKLAM_LOW, -tail(1 - p)).otherwise(middle)
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation as an aggregate; null where either side is constant, which `corr` takes for a division by zero."""
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.covar_pop(a, b) / F.when(spread > 0, spread)
+
+
 def normal_scores(df: DataFrame, cell: Sequence[str], value: str, tie: str) -> DataFrame:
     """df with `normal_score`: the normal quantile of (rank - 0.5) / n within each cell; nulls rank among themselves and get null."""
     w = Window.partitionBy(*cell, F.col(value).isNull())
@@ -60,7 +68,7 @@ def split_half(df: DataFrame, entity: str, order: Sequence[str], value: str) ->
     """One row: entities with both halves, the correlation of the means of odd and even rows, and its Spearman-Brown step-up."""
     odd = F.row_number().over(Window.partitionBy(entity).orderBy(*order)) % 2 == 1
     h = df.withColumn("_odd", odd).groupBy(entity).agg(F.avg(F.when(F.col("_odd"), F.col(value))).alias("a"), F.avg(F.when(~F.col("_odd"), F.col(value))).alias("b")).where("a is not null and b is not null")
-    return h.agg(F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("r")).select("n", "r", (2 * F.col("r") / (1 + F.col("r"))).alias("reliability"))
+    return h.agg(F.count(F.lit(1)).alias("n"), correlation("a", "b").alias("r")).select("n", "r", (2 * F.col("r") / (1 + F.col("r"))).alias("reliability"))
 
 
 def signatures(v: DataFrame, by: str, least: int) -> DataFrame:
@@ -97,12 +105,8 @@ def drift(hits: DataFrame, order: Sequence[Column], block: int, threshold: float
 
     hits(hit double). Blocks are counted from the newest row; rows are numbered within ranges, not in one task.
     """
-    numbered = hits.select("hit", F.struct(*order).alias("_o"))
-    ranges = numbered.repartitionByRange(F.desc("_o")).withColumn("_p", F.spark_partition_id())
-    sizes = ranges.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.alias("x").join(sizes.alias("y"), F.col("y._p") < F.col("x._p"), "left").groupBy("x._p").agg(F.coalesce(F.sum("y._n"), F.lit(0)).alias("_before"))  # one row a partition
-    at = F.row_number().over(Window.partitionBy("_p").orderBy(F.desc("_o"))) - 1 + F.col("_before")
-    blocks = ranges.join(F.broadcast(before), "_p").select("hit", F.floor(at / block).alias("block")).groupBy("block").agg(F.avg("hit").alias("rate"), F.count(F.lit(1)).alias("n"))
+    placed = ranges.numbered(hits.select("hit", F.struct(*order).alias("_o")), ["_o"])
+    blocks = placed.groupBy(F.floor((F.col("_rows") - 1 - F.col("_place")) / block).alias("block")).agg(F.avg("hit").alias("rate"), F.count(F.lit(1)).alias("n"))
     out = blocks.agg(F.max(F.when(F.col("block") == 0, F.col("rate"))).alias("newest"), F.percentile(F.when((F.col("block") > 0) & (F.col("n") == block), F.col("rate")), F.lit(0.5)).alias("history"))
     return out.withColumn("drifted", F.col("newest") < F.col("history") - threshold)
 
@@ -114,6 +118,6 @@ def rescoring_queue(scores: DataFrame, version: int, batch: int, order: Sequence
 
 def validate_grid(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     """pairs(by…, pred, truth) -> per setting n, mean absolute error, bias and correlation, and `best` for the smallest error (ties: first setting)."""
-    g = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("pred") - F.col("truth"))).alias("mae"), F.avg(F.col("pred") - F.col("truth")).alias("bias"), F.corr("pred", "truth").alias("corr"))
+    g = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("pred") - F.col("truth"))).alias("mae"), F.avg(F.col("pred") - F.col("truth")).alias("bias"), correlation("pred", "truth").alias("corr"))
     best = g.agg(F.min_by(F.struct(*by), F.struct("mae", *by)).alias("_best"))
     return g.join(F.broadcast(best)).withColumn("best", F.struct(*by) == F.col("_best")).drop("_best")

@@ -7,14 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that rows are dealt to if the caller names no number: as many as the session's shuffles have.
+from ..sources.shared import written
+
+#: Bits of a row's id for its place in its range. Rows are dealt to as many ranges as the session's shuffles have partitions, unless the caller names a number.
 _SHIFT = 33
 
 
 def _ranges(df: DataFrame, order: Sequence, parts: int | None) -> DataFrame:
+    """df with `_id`: its upper bits are the range a row lies in, its lower ones the place there. Written, as ranges come from samples: read twice, they must be the same."""
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # an id's upper bits are the range, its lower ones the place in it
-    return df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    return written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ranges")
+
+
+def numbered(df: DataFrame, order: Sequence, parts: int | None = None) -> DataFrame:
+    """df with `_place`, its 0-based place in the global order, and `_rows`, their number: ranges are sorted apart and what lies before each is added."""
+    r = _ranges(df, order, parts).withColumn("_p", F.shiftright("_id", _SHIFT))
+    sizes = r.groupBy("_p").agg(F.count(F.lit(1)).alias("_k"))  # one row a range
+    w = Window.orderBy("_p")
+    before = sizes.select("_p", (F.sum("_k").over(w) - F.col("_k")).alias("_before"), F.sum("_k").over(Window.partitionBy()).alias("_rows"))
+    place = F.col("_before") + F.col("_id") - F.shiftleft(F.col("_p"), _SHIFT)
+    return r.join(F.broadcast(before), "_p").select(*df.columns, place.alias("_place"), "_rows")
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float], parts: int | None = None) -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .evaluation import correlation
+
 #: Rows a group needs, values a feature needs in it, and features a group needs.
 LEAST, LEAST_VALUES, LEAST_FEATURES = 2, 2, 2
 #: Rank statistic from which a signature passes, and the normal quantile of its lower bound.
@@ -43,7 +45,7 @@ def reliability_weights(df: DataFrame) -> DataFrame:
     icc = t.select("feature", safe(between - within, between + (size - 1) * within).alias("icc"))
     odd = F.row_number().over(Window.partitionBy("feature", "entity").orderBy("id")) % 2 == 1
     h = r.withColumn("_odd", odd).groupBy("feature", "entity").agg(F.avg(F.when(F.col("_odd"), F.col("residual"))).alias("a"), F.avg(F.when(~F.col("_odd"), F.col("residual"))).alias("b"))
-    half = h.where("a is not null and b is not null").groupBy("feature").agg(F.corr("a", "b").alias("split_half"))
+    half = h.where("a is not null and b is not null").groupBy("feature").agg(correlation("a", "b").alias("split_half"))
     at_least = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0))
     return icc.join(half, "feature", "left").withColumn("weight", F.sqrt(at_least("icc") * at_least("split_half")))
 

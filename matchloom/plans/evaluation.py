@@ -95,30 +95,6 @@ q as (select rate, start, count(*) as n, avg(abs(pred - truth)) as mae, avg(pred
 select rate, start, n, round(mae, 6) as mae, round(bias, 6) as bias, round(c, 6) as corr, row_number() over (order by mae, rate, start) = 1 as best from q""", "e")
 
 
-def activity_features(e: DataFrame, now: str) -> DataFrame:
-    """Ten features of each entity and hour in which it was active: volume, spread, shares, recency and age with caps and logs, and both cycles."""
-    day, hour = F.weekday("ts"), F.hour("ts")
-    whole = e.groupBy("match_id").agg(F.count(F.lit(1)).alias("total"), F.count_distinct(hour).alias("hours"), F.count_distinct(day).alias("days"), F.max("ts").alias("last"), F.min("ts").alias("first"))
-    part = e.groupBy("match_id", hour.alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.max(F.weekday("ts")).alias("day"))
-    since = lambda c: (F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(c)) / 3600.0
-    turn = lambda c, n: 2 * 3.141592653589793 * F.col(c) / n
-    out = part.join(whole, "match_id").select(
-        "match_id", "hour",
-        F.log1p(F.col("total").cast("double")).alias("log_total"), F.least(F.col("hours"), F.lit(12)).cast("double").alias("hours"), F.least(F.col("days"), F.lit(7)).cast("double").alias("days"),
-        (F.col("n") / F.col("total")).alias("share"), F.log1p(F.greatest(F.least(since("last"), F.lit(720.0)), F.lit(0.0))).alias("recency"),
-        F.log1p(F.greatest(F.least(since("first") / 24, F.lit(365.0)), F.lit(0.0))).alias("age"),
-        F.sin(turn("hour", 24)).alias("hour_sin"), F.cos(turn("hour", 24)).alias("hour_cos"), F.sin(turn("day", 7)).alias("day_sin"), F.cos(turn("day", 7)).alias("day_cos"),
-    )
-    return _rounded(out, *(c for c in out.columns if c not in ("match_id", "hour")))
-
-
-add("f13_activity_features", lambda s, d: activity_features(events(s, d), "2024-03-01 00:00:00"),
-    """with w as (select match_id, count(*) as total, count(distinct hour(ts)) as hours, count(distinct isodow(ts)) as days, max(ts) as last, min(ts) as first from e group by 1),
-p as (select match_id, hour(ts)::int as hour, count(*) as n, max(isodow(ts) - 1) as day from e group by 1, 2),
-q as (select *, (floor(epoch(timestamp '2024-03-01 00:00:00')) - floor(epoch(last))) / 3600.0::double as h_last, (floor(epoch(timestamp '2024-03-01 00:00:00')) - floor(epoch(first))) / 3600.0::double as h_first from p join w using (match_id))
-select match_id, hour, round(ln(1 + total::double), 6) as log_total, least(hours, 12)::double as hours, least(days, 7)::double as days, round(n / total, 6) as share, round(ln(1 + greatest(least(h_last, 720.0), 0)), 6) as recency,
-round(ln(1 + greatest(least(h_first / 24, 365.0), 0)), 6) as age, round(sin(2 * pi() * hour / 24), 6) as hour_sin, round(cos(2 * pi() * hour / 24), 6) as hour_cos, round(sin(2 * pi() * day / 7), 6) as day_sin, round(cos(2 * pi() * day / 7), 6) as day_cos from q""", "e")
-
 SQL_FUNCTIONS = {
     "displayed_level": ("level bigint, max_level bigint", "bigint", "level + (16 - max_level)"),
     "clean_tag": ("tag string", "string", "'#' || upper(ltrim('#', trim(tag)))"),

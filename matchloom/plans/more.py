@@ -90,19 +90,6 @@ add("f9_sequences", lambda s, d: padded_sequences(events(s, d), 64),
     "select match_id, count(*) as n, string_agg(f, '|' order by tick, event_id) filter (i <= 64) as sequence from (select *, side || ':' || item || ':' || cost as f, row_number() over (partition by match_id order by tick, event_id) as i from e) group by 1", "e")
 
 
-def activity_training(e: DataFrame) -> DataFrame:
-    """24 hourly rows for each entity with its count, and whether the hour is among its three busiest."""
-    hours = e.select("match_id").distinct().select("match_id", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
-    n = e.groupBy("match_id", F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("match_id").orderBy(F.desc("n"), "hour"))
-    return hours.join(n, ["match_id", "hour"], "left").fillna(0, ["n"]).withColumn("busy", (rank <= 3) & (F.col("n") > 0))
-
-
-add("f14_activity_training", lambda s, d: activity_training(events(s, d)),
-    """with h as (select * from (select distinct match_id from e), (select unnest(range(24))::int as hour)), c as (select match_id, hour(ts)::int as hour, count(*) as n from e group by 1, 2),
-j as (select match_id, hour, coalesce(n, 0) as n from h left join c using (match_id, hour)) select *, n > 0 and row_number() over (partition by match_id order by n desc, hour) <= 3 as busy from j""", "e")
-
-
 def rarity(r: DataFrame) -> DataFrame:
     """Distance of a basket's shape (size, mean cost) from the mean, in standard deviations."""
     g = r.groupBy("match_id").agg(F.count(F.lit(1)).cast("double").alias("size"), F.avg("cost").alias("cost"))
