@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
@@ -140,28 +141,46 @@ def jaccard_join(sets: DataFrame, threshold: float) -> DataFrame:
     return out.distinct() if small else out
 
 
-def greedy_clusters(comp: DataFrame, group: str, threshold: float, limit: int = 50_000) -> DataFrame:
-    """comp(group, items, n) with a cluster number a group: baskets by falling n join the first cluster whose founder is similar enough.
+def greedy_clusters(comp: DataFrame, group: str, threshold: float) -> DataFrame:
+    """comp(group, items, n) with `cluster`: within a group baskets by falling n (ties: by their text) join the first cluster whose founder is similar
+    enough (Jaccard >= threshold > 0), or found the next one; clusters are numbered from 0 in that order.
 
-    The assignment depends on order, so each group is one task; `limit` guards its memory and fails rather than drops.
+    Who founds is settled in rounds over the similarity join's links: a basket with a similar earlier founder is a member, one whose similar
+    earlier baskets are all members is a founder, the others wait. Every round settles at least each group's first waiting basket, most settle many;
+    links to members and of the settled go. Baskets and groups of any size are joined, none is gathered. Empty or null baskets and null
+    groups are founders of their own. The order inside items makes no difference; equal rows of a group are one basket with one cluster.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > limit:
-            raise ValueError(f"a group of {len(pdf)} different baskets is over the limit of {limit}")
-        pdf = pdf.assign(_k=["|".join(i) for i in pdf["items"]]).sort_values(["n", "_k"], ascending=[False, True]).drop(columns="_k")
-        founders: list[frozenset] = []
-        out = []
-        for items in pdf["items"]:
-            s = frozenset(items)
-            best = next((k for k, f in enumerate(founders) if len(s & f) >= threshold * len(s | f)), None)
-            if best is None:
-                best = len(founders)
-                founders.append(s)
-            out.append(best)
-        return pdf.assign(cluster=out)
-
-    return comp.groupBy(group).applyInPandas(run, ", ".join(f"`{n}` {t}" for n, t in comp.dtypes) + ", cluster int")
+    key = F.concat_ws("\x1d", F.coalesce(F.col(group).cast("string"), F.lit("\x00")), F.array_join(F.array_sort(F.array_distinct(F.coalesce("items", F.array().cast("array<string>")))), "\x1f"))
+    keyed = comp.withColumn("_key", key)
+    nodes = written(keyed.groupBy("_key").agg(F.first(group).alias("_group"), F.first("items").alias("items"), F.max("n").alias("n")), "baskets")
+    # items carry their group, so that baskets of different groups never meet
+    own = F.transform("items", lambda x: F.concat_ws("\x1e", F.col("_group").cast("string"), x))
+    links = jaccard_join(nodes.where(F.col("_group").isNotNull() & (F.size("items") > 0)).select(F.col("_key").alias("id"), own.alias("items")), threshold).select("a", "b")
+    order = lambda n: F.struct(-F.col(f"n_{n}"), F.col(n))
+    counts = lambda n: nodes.select(F.col("_key").alias(n), F.col("n").alias(f"n_{n}"))
+    both = links.join(counts("a"), "a").join(counts("b"), "b").withColumn("_first", order("a") < order("b"))
+    directed = both.select(F.when(F.col("_first"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("_first"), F.col("b")).otherwise(F.col("a")).alias("late"))
+    links = written(directed, "basket-links")
+    waiting, open_links, settled = nodes.select("_key"), links, None
+    while True:
+        # a link's earlier end is a founder or waits; ends that are members are gone
+        if settled is not None:
+            open_links = open_links.join(settled.select(F.col("_key").alias("early"), "founds"), "early", "left").where("founds is null or founds").withColumn("founds", F.coalesce("founds", F.lit(False)))
+        else:
+            open_links = open_links.withColumn("founds", F.lit(False))
+        seen = open_links.groupBy(F.col("late").alias("_key")).agg(F.max("founds").alias("_member"))
+        state = waiting.join(seen, "_key", "left").select("_key", F.when(F.col("_member").isNull(), True).when(F.col("_member"), False).alias("founds"))
+        state = written(state, "basket-round")
+        done = state.where("founds is not null")
+        settled = done if settled is None else settled.unionByName(done)
+        waiting = state.where("founds is null").select("_key")
+        if waiting.isEmpty():
+            break
+        open_links = written(open_links.drop("founds").join(waiting.select(F.col("_key").alias("late")), "late", "left_semi"), "basket-links")
+    founders = settled.where("founds").join(nodes, "_key").withColumn("cluster", F.row_number().over(Window.partitionBy("_group").orderBy(F.desc("n"), "_key")) - 1).select("_key", "n", "cluster")
+    joined = links.join(founders.select(F.col("_key").alias("early"), "cluster"), "early").groupBy(F.col("late").alias("_key")).agg(F.min("cluster").alias("_joined"))
+    members = settled.where("not founds").join(joined, "_key").select("_key", F.col("_joined").alias("cluster"))
+    return keyed.join(founders.select("_key", "cluster").unionByName(members), "_key").drop("_key")
 
 
 def combinations(sets: DataFrame, k: int) -> DataFrame:

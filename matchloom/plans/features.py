@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import deep_dive as D9
 from ..operators import event_features as X9
+from ..operators import pilots as PF
 from ..sources.views import E_SQL, M_SQL, events, matches
 from .register import Registry
 from .resources import _grown, _states
@@ -118,3 +119,15 @@ select wins + losses as games, wins, losses, round(wins / (wins + losses), 6) as
 add("c9_patterns", lambda s, d: _r6(D9.patterns(_metrics(s, d)), "a", "b", "difference"),
     f"""with recursive {_M9}, rl(rule, am, aw, bm, bw, threshold, needs) as (values {_RULES9}), j as (select rule, x.value as a, y.value as b, threshold, needs from rl join mt x on x.metric = am and x.won = aw join mt y on y.metric = bm and y.won = bw)
 select rule, round(a, 6) as a, round(b, 6) as b, round(a - b, 6) as difference from j where abs(a - b) > threshold and (needs = 0 or (needs = 1 and (a > 0 or b > 0)) or (needs = 2 and a > 0 and b > 0))""")
+
+# --- how an entity plays: users as matches of entities by their number ----------------------------------------------------------------
+
+GATES = (3, 10, 5)
+add("c22_fingerprint", lambda s, d: _r6(PF.fingerprint(events(s, d), events(s, d).select("match_id", (F.col("match_id") % 4).alias("entity")).distinct(), GATES), *PF.FEATURES),
+    f"""with {E_SQL}, t as (select *, tick - max(case when side = 'opponent' then tick end) over (partition by match_id order by tick range between unbounded preceding and 1 preceding) as since,
+ lead(tick) over (partition by match_id, side order by tick, event_id) - tick as nx, count(*) over (partition by match_id, side) as plays from e),
+p as (select match_id % 4 as entity, match_id, tick, cost, case when nx > 0 and nx <= {PF.GAP} then nx / cost end as pace, case when since <= {PF.REACTION} then since end as reaction, case when since <= {PF.REACTION} and y < {PF.MIDDLE_Y} then since end as defence from t where side = 'team' and plays >= 2),
+g as (select entity, count(*) as games, sum(span) as span, sum(spent) as spent from (select entity, match_id, max(tick) - min(tick) as span, sum(cost) as spent from p group by 1, 2) group by 1),
+q as (select entity, count(pace) as paces, count(reaction) as reactions, count(defence) as defences, quantile_cont(pace, 0.5) as pace, stddev_pop(pace) / avg(pace) as pc, quantile_cont(reaction, 0.5) as reaction, quantile_cont(defence, 0.5) as defence, avg((reaction <= {PF.FAST})::int) as fast from p group by 1)
+select entity, games, round(pace, 6) as pace, round(spent / span * 1000, 6) as throughput, round(reaction, 6) as reaction, round(pc, 6) as pace_consistency, round(case when defences >= {PF.LEAST_DEFENCE} then defence else reaction end, 6) as defence_reaction, round(fast, 6) as fast_share
+from g join q using (entity) where games >= {GATES[0]} and paces >= {GATES[1]} and reactions >= {GATES[2]} and span > 0""")

@@ -99,7 +99,7 @@ add("c20_timing", lambda s, d: S.timing(events(s, d)),
 select match_id, count(*) as n, quantile_cont(gap, 0.5) as gap_median, quantile_cont(gap, 0.25) as gap_p25, min(gap) as gap_min, avg((gap <= 20)::int::double) as burst, avg(latency) as latency from t where side = 'team' group by 1""", "e")
 add("c21_previous_latency", lambda s, d: S.asof_join(*_sides(s, d), ["match_id"], "tick", "t", ["other"], strict=True).select("event_id", F.when(F.col("tick") - F.col("t_hit") <= 400, F.col("tick") - F.col("t_hit")).alias("latency")),
     f"select event_id, case when tick - p <= 400 then tick - p end as latency from (select *, max(tick) filter (side = 'opponent') over (partition by match_id order by tick range between unbounded preceding and 1 preceding) as p from e) where side = 'team'", "e")
-add("c22_fingerprint", lambda s, d: S.timing(events(s, d)).join(events(s, d).where("side = 'team'").groupBy("match_id").agg(F.round(F.stddev_pop("cost") / F.avg("cost"), 6).alias("cost_cv")), "match_id").where("n >= 10").select("match_id", "gap_median", "burst", "cost_cv"),
+add("c22_timing_spread", lambda s, d: S.timing(events(s, d)).join(events(s, d).where("side = 'team'").groupBy("match_id").agg(F.round(F.stddev_pop("cost") / F.avg("cost"), 6).alias("cost_cv")), "match_id").where("n >= 10").select("match_id", "gap_median", "burst", "cost_cv"),
     """with t as (select *, tick - lag(tick) over (partition by match_id, side order by tick, event_id) as gap from e) select match_id, quantile_cont(gap, 0.5) as gap_median, avg((gap <= 20)::int::double) as burst, round(stddev_pop(cost) / avg(cost), 6) as cost_cv from t where side = 'team' group by 1 having count(*) >= 10""", "e")
 add("c23_latest_n", lambda s, d: O.top_k(matches(s, d).select("entity", "match_id", "ts"), ["entity"], [F.desc("ts"), F.desc("match_id")], 5).select("entity", "match_id", "rank"),
     "select entity, match_id, row_number() over (partition by entity order by ts desc, match_id desc)::int as rank from m qualify rank <= 5", "m")

@@ -107,7 +107,7 @@ add("j6_score_events", lambda s, d: (lambda me: M.score_rows(*me).select("event_
 add("j26_swap", lambda s, d: (lambda me: M.swap_and_score(*me, "cost", 9, 1).select("event_id", F.round("delta", 6).alias("delta")))(_scored(s, d)))
 add("j7_platt", lambda s, d: (lambda me: (lambda p: s.createDataFrame([M.fit_platt(p.withColumn("z", F.log(F.col("p") / (1 - F.col("p")))), "z", "won")], "a double, b double"))(M.score_rows(*me)))(_scored(s, d)))
 add("j10_bootstrap", lambda s, d: M.bootstrap_mean(events(s, d).withColumn("v", F.col("cost").cast("double")), "v", "event_id", 50, 5))
-add("j27_swap_gradient", lambda s, d: M.swap_gradient(events(s, d).select("side", "item", (F.col("cost") - 5).cast("double").alias("delta")), ["side", "item"]).select("side", "item", "n", F.round("mean", 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high")),
+add("j27_cost_gradient", lambda s, d: M.swap_gradient(events(s, d).select("side", "item", (F.col("cost") - 5).cast("double").alias("delta")), ["side", "item"]).select("side", "item", "n", F.round("mean", 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high")),
     "select side, item, count(*) as n, round(avg(v), 6) as mean, round(avg(v) - 1.96 * stddev_pop(v) / sqrt(count(*)), 6) as low, round(avg(v) + 1.96 * stddev_pop(v) / sqrt(count(*)), 6) as high from (select side, item, (cost - 5)::double as v from e) group by all", "e")
 add("a8_parse_pages", lambda s, d: table(s, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"<(p|li|h1|h2|td)\b"), F.lit(1))).alias("n", "tag")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n")),
     r"select page_id, tag, count(*) as n from (select page_id, unnest(regexp_extract_all(html, '<(p|li|h1|h2|td)\b', 1)) as tag from pages) group by all")

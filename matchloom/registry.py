@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import core, evaluation, features, learning, more, resources, sequence, signatures, state, streams, versions
+from .plans import core, evaluation, features, impact, learning, more, resources, sequence, signatures, state, streams, versions
 
-MODULES = [core, sequence, state, streams, more, evaluation, resources, signatures, versions, learning, features]
+MODULES = [core, sequence, state, streams, more, evaluation, resources, signatures, versions, learning, features, impact]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}

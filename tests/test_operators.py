@@ -1,5 +1,7 @@
 """Hand-computed values and invariants of operators that SQL cannot state."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -28,6 +30,26 @@ def test_greedy_clusters_by_hand(spark):
     assert got == {("a", "b", "c"): 0, ("x", "y"): 1, ("a", "b", "d"): 0}
 
 
+def test_greedy_clusters_equal_the_loop(spark):
+    rng = random.Random(3)
+    rows = {(rng.choice("pq"), tuple(sorted(rng.sample("abcdefgh", rng.randint(1, 5))))): rng.randint(1, 4) for _ in range(150)}
+    rows |= {("chain", tuple("abcdefghijklmnop"[k : k + 6])): 100 - k for k in range(10)}  # each is similar to its neighbours only
+    got = {}
+    for r in B.greedy_clusters(spark.createDataFrame([(g, list(i), n) for (g, i), n in rows.items()], "g string, items array<string>, n int").repartition(3), "g", 0.6).collect():
+        got[r.g, tuple(r["items"])] = r.cluster
+    for group in ("p", "q", "chain"):
+        founders = []
+        for items in sorted((i for g, i in rows if g == group), key=lambda i: (-rows[group, i], "\x1f".join(i))):
+            hit = next((k for k, f in enumerate(founders) if len(set(items) & f) >= 0.6 * len(set(items) | f) - 1e-12), None)
+            if hit is None:
+                hit = len(founders)
+                founders.append(set(items))
+            assert got[group, items] == hit
+    assert len(got) == len(rows)
+    odd = spark.createDataFrame([("g", [], 1), ("g", None, 2), (None, ["a"], 1), ("g", ["a"], 1)], "g string, items array<string>, n int")
+    assert B.greedy_clusters(odd, "g", 0.5).count() == 4 and not B.greedy_clusters(odd.limit(0), "g", 0.5).collect()
+
+
 def test_asof_plan_builds_no_pairs(spark):
     a = spark.createDataFrame([(1, 5)], "k int, t int")
     b = spark.createDataFrame([(1, 3, 9)], "k int, u int, v int")
