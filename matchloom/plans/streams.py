@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..operators import critic as C
 from ..operators import models as M
 from ..operators import neighbours as B
 from ..operators import outcomes as O
@@ -98,14 +99,21 @@ add("j32_sweep", lambda s, d: M.sweep(_v(s, d), [4, 8], 0.05))
 
 
 def _scored(s, d):
-    e = events(s, d).withColumn("won", (F.col("match_id") % 2).cast("double"))
-    model = M.fit_classifier(e, ["tick", "x", "y", "cost"], "won", 5)
-    return model, e
+    """A model fitted on the earlier four fifths of the events, and all events with `validation` for the later ones."""
+    e = C.time_split(events(s, d), ["ts", "event_id"]).withColumn("won", (F.col("match_id") % 2).cast("double"))
+    return M.fit_classifier(e.where("not validation"), ["tick", "x", "y", "cost"], "won", 5), e
 
 
-add("j6_score_events", lambda s, d: (lambda me: M.score_rows(*me).select("event_id", F.round("p", 6).alias("p")))(_scored(s, d)))
+add("j6_score_events", lambda s, d: (lambda me: M.score_rows(*me).select("event_id", "validation", F.round("p", 6).alias("p")))(_scored(s, d)))
 add("j26_swap", lambda s, d: (lambda me: M.swap_and_score(*me, "cost", 9, 1).select("event_id", F.round("delta", 6).alias("delta")))(_scored(s, d)))
-add("j7_platt", lambda s, d: (lambda me: (lambda p: s.createDataFrame([M.fit_platt(p.withColumn("z", F.log(F.col("p") / (1 - F.col("p")))), "z", "won")], "a double, b double"))(M.score_rows(*me)))(_scored(s, d)))
+def platt(s, d):
+    """Fitted on the later events, which the model has not seen."""
+    model, e = _scored(s, d)
+    p = M.score_rows(model, e.where("validation")).withColumn("z", F.log(F.col("p") / (1 - F.col("p"))))
+    return s.createDataFrame([M.fit_platt(p, "z", "won")], "a double, b double")
+
+
+add("j7_platt", platt)
 add("j10_bootstrap", lambda s, d: M.bootstrap_mean(events(s, d).withColumn("v", F.col("cost").cast("double")), "v", "event_id", 50, 5))
 add("j27_cost_gradient", lambda s, d: M.swap_gradient(events(s, d).select("side", "item", (F.col("cost") - 5).cast("double").alias("delta")), ["side", "item"]).select("side", "item", "n", F.round("mean", 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high")),
     "select side, item, count(*) as n, round(avg(v), 6) as mean, round(avg(v) - 1.96 * stddev_pop(v) / sqrt(count(*)), 6) as low, round(avg(v) + 1.96 * stddev_pop(v) / sqrt(count(*)), 6) as high from (select side, item, (cost - 5)::double as v from e) group by all", "e")
