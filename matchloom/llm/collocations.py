@@ -200,6 +200,11 @@ class _Phrases:
         return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(w.start[self.at[i]].tolist(), w.end[self.at[i] + self.size[i] - 1].tolist())]
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    """Rows of COLUMNS as Python objects: numbers beside nulls would become floats, which do not hold 64 bits."""
+    return pd.DataFrame({c: pd.Series(list(x), dtype=object) for c, x in zip(COLUMNS, zip(*rows) if rows else [()] * len(COLUMNS))})
+
+
 def hash_text(x: str) -> int:
     b = np.frombuffer(x.encode("utf-8", "surrogatepass") + b"\x01", np.uint8)
     p, _ = _powers(len(b))
@@ -257,7 +262,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
             for f, a, b in segments(p.key[hit], parts):
                 out.append((f, _planes(p.key[hit[a:b]]), p.count[hit[a:b]].view(np.uint8).reshape(-1, 8).T.tobytes(), None, None, None, None, None))
             out += texts(p, np.flatnonzero(read("mine")))
-        return pd.DataFrame(out, columns=COLUMNS).astype(object)
+        return _frame(out)
 
     def look_up(wanted: np.ndarray):
         """The texts of wanted phrases, from every block that holds them."""
@@ -266,7 +271,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
             for pdf in batches:
                 for row in pdf.itertuples(index=False):
                     p = _Phrases(row, longest, every)
-                    yield pd.DataFrame(texts(p, np.flatnonzero(np.isin(p.key.view(np.int64), wanted))), columns=COLUMNS).astype(object)
+                    yield _frame(texts(p, np.flatnonzero(np.isin(p.key.view(np.int64), wanted))))
 
         return run
 

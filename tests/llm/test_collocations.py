@@ -103,7 +103,9 @@ def test_small_blocks_and_narrow_hashes(spark, monkeypatch):
     want = brute(rows, 8)
     monkeypatch.setattr(C, "DICTIONARY_BYTES", 500)
     monkeypatch.setattr(C, "GATHER_BYTES", 2000)
+    monkeypatch.setattr(C, "LOST", 0)  # every text comes from the block that asked first, none has to be looked up
     assert found(C.collocations(frame(spark, rows), least=8)) == want
+    monkeypatch.setattr(C, "LOST", 7)
     narrow = C._cut
     monkeypatch.setattr(C, "_cut", lambda keys, bits: (lambda z: ((z[0] << np.uint64(bits - 12)), z[1]))(narrow(keys, 12)))
     assert found(C.collocations(frame(spark, rows), least=8)) == want
