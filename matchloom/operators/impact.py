@@ -75,3 +75,12 @@ def tier_calibration(scores: DataFrame, tier: Column, sure: tuple[float, float]
     right = (F.col("p") >= 0.5) == (F.col("label") == 1)
     g = scores.groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("score"), F.avg("label").alias("rate"), F.count_if(confident).alias("confident"), F.count_if(confident & right).alias("_right"))
     return g.select("tier", "n", "score", "rate", (F.col("score") - F.col("rate")).alias("gap"), "confident", (F.col("confident") / F.col("n")).alias("coverage"), (F.col("_right") / F.when(F.col("confident") > 0, F.col("confident"))).alias("accuracy"))
+
+
+def threats(m: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
+    """(keys…, label, n, wins, losses, mean, rank) of matches(keys…, label, result): the posterior mean of the win rate under an even prior, the
+    least first within the keys (ties: by label); labels of fewer than `least` decided matches go."""
+    won, lost = F.count_if(F.col("result") == "win"), F.count_if(F.col("result") == "loss")
+    g = m.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"), won.alias("wins"), lost.alias("losses")).where(F.col("wins") + F.col("losses") >= least)
+    g = g.withColumn("mean", (F.col("wins") + 1) / (F.col("wins") + F.col("losses") + 2))
+    return g.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("mean", "label")))

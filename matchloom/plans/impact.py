@@ -10,7 +10,7 @@ from ..operators import impact as M
 from ..operators import outcomes as O
 from ..operators import resources as P
 from ..sources import ingest as I
-from ..sources.views import events, rosters
+from ..sources.views import events, matches, rosters
 from .core import _RULES_SQL, RULES
 from .register import Registry
 from .state import _S, _W, _delta, _score
@@ -104,3 +104,35 @@ _REGROWN = " + ".join(f"greatest(0, least(tick + 500, {hi!r}::double) - greatest
 add("l5_library_functions", _sql_functions,
     f"""with b as (select match_id, list(distinct item order by item) as items from r where is_player = 1 group by 1)
 select event_id, case when tick >= 7920 then 'late' when tick >= 5280 then 'overtime' when tick >= 3360 then 'double' else 'single' end as phase, round({_REGROWN}, 6) as regrown, {_RULES_SQL} as kind, round((k + 1) / (k + cost + 2), 9) as mean from e join b using (match_id)""", "er")
+
+# --- the opponents that an entity loses to most: what they are weak against, and the entity's own record with them by category ----------
+
+LEAST = 2
+
+
+def nemeses(s: SparkSession, d: str) -> DataFrame:
+    """(entity, opponent): of each entity the opponent with most losses to, ties to the smaller."""
+    lost = matches(s, d).groupBy("entity", "opponent").agg(F.sum(O.is_("loss")).alias("lost")).where("lost > 0")
+    return O.top_k(lost, ["entity"], [F.desc("lost"), F.col("opponent")], 1).select("entity", "opponent")
+
+
+def _weaknesses(s: SparkSession, d: str) -> DataFrame:
+    """Every nemesis's own matches by the category of the basket it faced, the likeliest loss first."""
+    faced = O.baskets(rosters(s, d), 0).select("match_id", X.classify_basket(F.col("items"), RULES).alias("label"))
+    theirs = matches(s, d).join(nemeses(s, d).select(F.col("opponent").alias("entity")).distinct(), "entity", "left_semi").join(faced, "match_id")
+    return _r9(M.threats(theirs, ["entity"], LEAST))
+
+
+def _record(s: SparkSession, d: str) -> DataFrame:
+    """Every entity's matches against its nemesis by the category of its own basket."""
+    own = O.baskets(rosters(s, d), 1).select("match_id", X.classify_basket(F.col("items"), RULES).alias("label"))
+    return _r9(M.threats(matches(s, d).join(nemeses(s, d), ["entity", "opponent"]).join(own, "match_id"), ["entity", "opponent"], 1))
+
+
+_NEMESES = """ln as (select entity, opponent, count(*) filter (result = 'loss') as lost from m group by 1, 2 having count(*) filter (result = 'loss') > 0),
+nm as (select entity, opponent from ln qualify row_number() over (partition by entity order by lost desc, opponent) = 1)"""
+_THREATS = lambda source, keys, least: f"""select {keys}, label, n, wins, losses, round((wins + 1) / (wins + losses + 2), 9) as mean, row_number() over (partition by {keys} order by (wins + 1) / (wins + losses + 2), label)::int as rank
+ from (select {keys}, label, count(*) as n, count(*) filter (result = 'win') as wins, count(*) filter (result = 'loss') as losses from {source} group by all having count(*) filter (result in ('win', 'loss')) >= {least})"""
+_LABELS = lambda side: f"b as (select match_id, list(distinct item order by item) as items from r where is_player = {side} group by 1), c as (select match_id, {_RULES_SQL} as label from b)"
+add("e10_nemesis_weaknesses", _weaknesses, f"with {_NEMESES}, {_LABELS(0)} {_THREATS('(select m.*, label from m join c using (match_id) where entity in (select opponent from nm))', 'entity', LEAST)}", "mr")
+add("e10_nemesis_record", _record, f"with {_NEMESES}, {_LABELS(1)} {_THREATS('(select m.*, label from m join nm using (entity, opponent) join c using (match_id))', 'entity, opponent', 1)}", "mr")
