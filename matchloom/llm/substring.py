@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +27,11 @@ N, PASSAGE_WORDS, HASHES, ENOUGH = 5, 50, 5, 2
 NUMERATOR, DENOMINATOR = 80, 100
 #: Range minima take some hundred bytes of memory a word of a block.
 BYTES_PER_BLOCK = 1 << 20
-#: n-grams that occur at OFTEN or more of the places that are looked at, one in EVERY by a hash of the place, come last in the order.
-OFTEN, EVERY = 5, 6
+#: n-grams of fewer than OFTEN places of the corpus keep their order; of those of m places a share of (OFTEN / m)^2 does, the others come last.
+OFTEN = 18
+#: Places are counted under so many leading bits of the n-gram's mixed hash that there are a SLOTS slots for each byte of text (about six
+#: times as many for each n-gram); a task sends the counts of about PLACES places at once.
+SLOTS, PLACES = 2, 1 << 21
 #: The table of frequent n-grams has one bit for each value of the leading bits of their hashes: a bit for 256 bytes of text, at most
 #: 2^MOST_BITS (128 MB). n-grams that share a bit come last together.
 MOST_BITS = 30
@@ -111,38 +115,64 @@ def compact_windows(hash_: np.ndarray, row: np.ndarray, width: int) -> tuple[np.
     return c - back[c], l - back[c], r - back[c]
 
 
+def _enough_places(slots: np.ndarray) -> np.ndarray:
+    """From how many places on the n-grams of each slot come last: OFTEN / sqrt(u), u a hash of the slot from 0 to 1."""
+    u = (mix(slots ^ np.uint64(0xD1B54A32D192ED03)) >> np.uint64(11)).astype(float) + 1
+    return OFTEN / np.sqrt(u / (1 << 53))
+
+
 def frequent_grams(blocks: DataFrame, n: int) -> tuple[np.ndarray, int]:
     """(table of bits, number of leading bits of an n-gram's mixed hash that index it): the n-grams of many places.
 
-    They are counted in the fragments of their hashes, and a fragment sends its stretch of the table. The order of n-grams decides how
-    many windows meet, not which passages are equal. It also decides what can be found: a near copy of a passage of many places whose
-    intact runs are shorter than a window of frequent n-grams has its rare n-grams come first, which nobody shares, and is lost.
+    Every place of the corpus is counted, in the fragments of the n-grams' hashes, and a fragment sends its stretch of the table. Hashes are
+    cut to what tells n-grams of a corpus of this size apart, so one that shares its slot or bit with others can come last too. The order
+    of n-grams decides how many windows meet, not which passages are equal. It also decides what can be found: where the intact runs of a
+    near copy are shorter than a window of frequent n-grams, those of its passage's n-grams that keep their order have to find it. Their
+    share falls with the square of the places, as the pairs grow with it: a phrase costs about as many whatever the number of its places.
     """
-    total = blocks.agg(F.sum("raw")).first()[0] or 0  # one number
-    bits = fragments(blocks, 1.2 / EVERY)
-    size = int(max(bits + 3, min(MOST_BITS, max(16, int(total).bit_length() - 8))))
+    total = int(blocks.agg(F.sum("raw")).first()[0] or 0)  # one number
+    bits = fragments(blocks, 1.4)
+    size = max(bits + 3, min(MOST_BITS, max(16, total.bit_length() - 8)))
+    slot = min(40, max(size, 24, (SLOTS * total).bit_length()))
 
     def ask(batches):
+        z = zstandard.ZstdCompressor(1)
+
+        def counted(parts):
+            keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+            counts = np.minimum(counts, (1 << 24) - 1).astype(np.uint32)
+            out = [(f, b - a, z.compress(_planes(keys[a:b])), z.compress(_by_plane(counts[a:b]))) for f, a, b in segments(keys << np.uint64(64 - slot), bits)]
+            return pd.DataFrame(out, columns=["frag", "n", "keys", "counts"])
+
+        parts, n_places = [], 0
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                g = Grams(row, n)
-                place = mix(np.arange(len(g.hash), dtype=np.uint64) + (np.uint64(row.block) << np.uint64(24)) + np.uint64(1))
-                keys, counts = np.unique(mix(g.hash[place % np.uint64(EVERY) == 0]), return_counts=True)
-                out = [(f, _planes(keys[a:b]), np.minimum(counts[a:b], 255).astype(np.uint8).tobytes()) for f, a, b in segments(keys, bits)]
-                yield pd.DataFrame(out, columns=["frag", "keys", "counts"])
+                parts.append(mix(Grams(row, n).hash) >> np.uint64(64 - slot))
+                n_places += len(parts[-1])
+                if n_places >= PLACES:
+                    yield counted(parts)
+                    parts, n_places = [], 0
+        if parts:
+            yield counted(parts)
 
     def answer(key, pdf):
-        keys = np.concatenate([_unplanes(b) for b in pdf["keys"]])
-        counts = np.concatenate([np.frombuffer(b, np.uint8) for b in pdf["counts"]])
-        every, where = np.unique(keys, return_inverse=True)
-        hot = every[np.bincount(where, weights=counts) >= OFTEN] >> np.uint64(64 - size)
+        z, found = zstandard.ZstdDecompressor(), []
+        for n_, keys, counts in zip(pdf["n"], pdf["keys"], pdf["counts"]):
+            keys = _unplanes(z.decompress(keys, max_output_size=8 * n_))
+            found.append(keys << np.uint64(24) | _from_planes(z.decompress(counts, max_output_size=4 * n_), np.uint32).astype(np.uint64))
+        found = np.sort(np.concatenate(found))
+        keys, counts = found >> np.uint64(24), found & np.uint64((1 << 24) - 1)
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        keys, counts = keys[first], np.add.reduceat(counts, first)
+        hot = keys[counts >= _enough_places(keys)] >> np.uint64(slot - size)
         part = np.zeros(1 << (size - bits), bool)
         part[hot.astype(np.int64) - (int(key[0]) << (size - bits))] = True
         return pd.DataFrame({"frag": [key[0]], "part": [np.packbits(part).tobytes()]})
 
     out = np.zeros(1 << (size - 3), np.uint8)
     step = 1 << (size - bits - 3)
-    for r in blocks.mapInPandas(ask, "frag int, keys binary, counts binary").groupBy("frag").applyInPandas(answer, "frag int, part binary").toLocalIterator():
+    asked = blocks.mapInPandas(ask, "frag int, n int, keys binary, counts binary")
+    for r in asked.groupBy("frag").applyInPandas(answer, "frag int, part binary").toLocalIterator():
         out[r.frag * step : (r.frag + 1) * step] = np.frombuffer(r.part, np.uint8)
     return out, size
 

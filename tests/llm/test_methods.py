@@ -260,6 +260,45 @@ def test_passages_recall_of_near_copies(spark):
     assert all(d >= 1000 for d in found)
 
 
+def test_frequent_grams_count_every_place(spark):
+    """N-grams are marked by the number of all their places, to the last one, however the rows are dealt."""
+    rnd = random.Random(21)
+    fresh = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    texts, phrases = defaultdict(list), {}
+    for places in (substring.OFTEN - 1, 25, 40, 100):
+        phrases[places] = [fresh(5) for _ in range(200)]
+        for p in phrases[places]:
+            for d in rnd.sample(range(400), places):
+                texts[d] += p + fresh(1)
+    made = spark.createDataFrame([(d, " ".join(w)) for d, w in sorted(texts.items())], "doc_id long, text string")
+    tables = [substring.frequent_grams(blocks.make_blocks(made.repartition(k)), 5) for k in (1, 5)]
+    assert np.array_equal(tables[0][0], tables[1][0]) and tables[0][1] == tables[1][1]
+    slot = (substring.SLOTS * sum(len(" ".join(w).encode()) for w in texts.values())).bit_length()
+    wrong = 0
+    for places, some in phrases.items():
+        h = np.concatenate([substring.mix(substring.shingles(substring.Words([" ".join(p).encode()]), 5)[0]) for p in some])
+        bit = (h >> np.uint64(64 - tables[0][1])).astype(np.int64)
+        marked = (tables[0][0][bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
+        want = places >= substring._enough_places(h >> np.uint64(64 - max(slot, 24)))
+        assert not (want & ~marked).any()
+        wrong += int((marked & ~want).sum())
+    assert wrong <= 8  # by a shared bit alone, of 65536 or more
+
+
+def test_near_copies_of_passages_in_many_places(spark):
+    """Copies of one passage of 80 words, each with a word of its own in the middle, beyond OFTEN places."""
+    rnd = random.Random(60)
+    fresh = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    texts, groups = {}, 10
+    for g in range(groups):
+        x = fresh(80)
+        for d in range(60):
+            texts[1000 * g + d] = " ".join(fresh(30) + x[:40] + fresh(1) + x[41:] + fresh(30))
+    spans = substring.near_duplicate_passages(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string"))
+    found = {r.doc_id for r in spans.select("doc_id").distinct().collect()}
+    assert len(found) >= 0.8 * 59 * groups
+
+
 @pytest.mark.parametrize("apart", [16, 20, 24])
 def test_passages_side_by_side(spark, apart):
     """Two exact passages that lie apart in the earlier text and side by side in the later one."""
