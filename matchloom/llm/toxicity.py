@@ -8,15 +8,15 @@ model is linear in the words, scoring needs one number a word, which tasks remem
 
 from __future__ import annotations
 
-import zlib
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table
+from .common import _powers, chunks, mix, table
 
 BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4, 5)
 #: The bound of the training sample in documents, the passes over it (more if they would make fewer than STEPS steps), and the rest of the training.
@@ -31,33 +31,44 @@ HELD_OUT = 2
 THRESHOLD = 0.3
 
 
+#: Characters of words that are hashed at once.
+CHARACTERS = 1 << 18
+
+
+def subwords_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, number of its word) of the words themselves and their character n-grams, hashed in arrays without an object per n-gram."""
+    code = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.array([len(w) + 2 for w in words], np.int64)
+    end = np.cumsum(size)
+    p, q = _powers(len(code) + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(code * np.uint64(0xD6E8FEB86659FD93)) * p[:-1], dtype=np.uint64)))
+    word = np.repeat(np.arange(len(words)), size)
+    left = end[word] - np.arange(len(code))  # characters from each one to its word's end
+    hashes, of = [mix((total[end] - total[end - size]) * q[end - size] + size.astype(np.uint64))], [np.arange(len(words))]
+    for n in GRAMS:
+        at = np.flatnonzero(left >= n)
+        hashes.append(mix((total[at + n] - total[at]) * q[at] + np.uint64(n)))
+        of.append(word[at])
+    return (np.concatenate(hashes) % np.uint64(BUCKETS)).astype(np.int32), np.concatenate(of)
+
+
 def subwords(word: str) -> np.ndarray:
     """Buckets of a word and its character n-grams."""
-    w = f"<{word}>"
-    parts = [w] + [w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)]
-    return np.array([xxhash.xxh64_intdigest(p) % BUCKETS for p in parts], np.int32)
+    return subwords_of([word])[0]
 
 
 def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def _bag(text: str, memo: dict) -> tuple[np.ndarray, np.ndarray]:
+def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, weight) of a text: all subwords of all its words have the same share."""
-    count: dict[str, int] = {}
-    for w in words_of(text):
-        count[w] = count.get(w, 0) + 1
+    count = Counter(words_of(text))
     if not count:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    found = []
-    for w in count:
-        s = memo.get(w)
-        if s is None:
-            s = memo[w] = subwords(w)
-        found.append(s)
-    size = np.array([len(s) for s in found])
-    ids, where = np.unique(np.concatenate(found), return_inverse=True)
-    times = np.repeat(np.array(list(count.values()), float), size)
+    found, word = subwords_of(list(count))
+    ids, where = np.unique(found, return_inverse=True)
+    times = np.array(list(count.values()), float)[word]
     return ids, np.bincount(where, weights=times / times.sum()).astype(np.float32)
 
 
@@ -78,9 +89,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model | None:
     if not 0 < y.sum() < len(y):
         return None
     rng = np.random.default_rng(seed)
-    memo: dict[str, np.ndarray] = {}
-    bags = [_bag(t, memo) for t in texts]
-    del memo
+    bags = [_bag(t) for t in texts]
     # a bucket of few documents says more about those than about the label: its vector stays zero
     least = max(MIN_DOCS, len(y) // RARE)
     df = np.zeros(BUCKETS, np.int64)
@@ -162,25 +171,28 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches):
         fitted = sent.value
-        memo: dict[str, tuple[float, int]] = {}
+        # of each word met its number, and by number the sum and the count of its subwords
+        memo: dict[str, int] = {}
+        sums, counts = np.zeros(0), np.zeros(0, np.int64)
         for pdf in batches:
             out = np.zeros(len(pdf))
-            if fitted is not None:
+            texts = [t or "" for t in pdf["text"]]
+            for a, b in chunks([len(t) for t in texts], CHARACTERS) if fitted is not None else ():
                 values, bias = fitted
-                for k, t in enumerate(pdf["text"]):
-                    words = words_of(t)
-                    if len(memo) > 200_000:
-                        memo.clear()
-                    total, n = 0.0, 0
-                    for w in words:
-                        v = memo.get(w)
-                        if v is None:
-                            s = subwords(w)
-                            v = memo[w] = (float(values[s].sum()), len(s))
-                        total += v[0]
-                        n += v[1]
-                    z = bias + (total / n if n else 0.0)
-                    out[k] = 1 / (1 + np.exp(-min(max(z, -30), 30)))
+                if len(memo) > 200_000:
+                    memo, sums, counts = {}, sums[:0], counts[:0]
+                parts = [words_of(t) for t in texts[a:b]]
+                new = list(set(chain.from_iterable(parts)).difference(memo))
+                memo.update(zip(new, range(len(memo), len(memo) + len(new))))
+                for i, j in chunks([len(w) for w in new], CHARACTERS):
+                    ids, word = subwords_of(new[i:j])
+                    sums = np.append(sums, np.bincount(word, weights=values[ids], minlength=j - i))
+                    counts = np.append(counts, np.bincount(word, minlength=j - i))
+                number = np.fromiter(map(memo.__getitem__, chain.from_iterable(parts)), np.int64)
+                text = np.repeat(np.arange(b - a), [len(p) for p in parts])
+                total = np.bincount(text, weights=sums[number], minlength=b - a)
+                n = np.bincount(text, weights=counts[number], minlength=b - a)
+                out[a:b] = 1 / (1 + np.exp(-np.clip(bias + total / np.maximum(n, 1), -30, 30)))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": out})
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {kind}, score double")

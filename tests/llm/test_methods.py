@@ -396,6 +396,26 @@ def test_quality_statistics(texts):
         assert failed == (n < 20 or 100 * repeated > 30 * n) and not (failed and kept)
 
 
+def test_subwords_do_not_depend_on_the_words_beside_them(spark):
+    """Words hashed together have the buckets that each has alone, and scores are the same however texts are batched."""
+    words = ["a", "fool", "xfool", "straße", "日本語", "ab" * 40, "\U0001f600"]
+    ids, word = toxicity.subwords_of(words)
+    for k, w in enumerate(words):
+        alone = toxicity.subwords(w)
+        m = len(w) + 2
+        assert sorted(ids[word == k].tolist()) == sorted(alone.tolist()) and len(alone) == 1 + sum(max(0, m - n + 1) for n in toxicity.GRAMS)
+    shared = set(ids[word == 1].tolist()) & set(ids[word == 2].tolist())
+    assert len(shared) >= 6  # foo, ool, ol>, fool, ool>, fool>
+    model = toxicity.train(["you fool " * 3, "a nice day"] * 20, [1, 0] * 20)
+    texts = {k: " ".join(words[: k % 8] * (k % 5)) for k in range(40)} | {40: None}
+    scores = [dict(toxicity.score(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(k), model).collect()) for k in (1, 7)]
+    assert all(abs(scores[0][d] - scores[1][d]) < 1e-12 for d in texts)
+    for d, t in texts.items():
+        found, of = toxicity.subwords_of(toxicity.words_of(t)) if t else (np.zeros(0, int), [])
+        z = model.bias + (float(model.table[found].mean(dtype=float)) if len(found) else 0.0)
+        assert abs(scores[0][d] - 1 / (1 + math.exp(-z))) < 1e-6
+
+
 def test_toxicity_generalises_to_unseen_spellings():
     rnd = random.Random(1)
     plain = ["".join(rnd.choice("abcdeghilmnoprstu") for _ in range(rnd.randint(3, 8))) for _ in range(400)]
