@@ -225,9 +225,9 @@ def _contents(ids: list[bytes]) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids binary, content, row): little-endian unsigned 32-bit ids of each whole text and the end id; null texts count as empty.
+    """(doc_id, ids binary, tokens, content, row): little-endian unsigned 32-bit ids of each whole text and the end id; null texts count as empty.
 
-    content is equal for texts that are mostly equal; row numbers the rows once the result is written.
+    tokens is the number of ids, so that sums need not read them. content is equal for texts that are mostly equal; row numbers the rows once the result is written.
     """
     path = path or public_tokenizers.path(TOKENIZER)
     kind = dict(docs.dtypes)["doc_id"]
@@ -237,20 +237,19 @@ def tokenised(docs: DataFrame, path: str | None = None) -> DataFrame:
         end = np.array([END], "<u4").tobytes()
         for pdf in batches:
             ids = [x + end for x in tokens(list(pdf["text"]))]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids, "content": _contents(ids) if ids else [], "row": np.arange(row, row + len(pdf))})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids, "tokens": [len(x) // 4 for x in ids], "content": _contents(ids) if ids else [], "row": np.arange(row, row + len(pdf))})
             row += len(pdf)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", text.alias("text")).mapInPandas(run, f"doc_id {kind}, ids binary, content long, row long")
+    return docs.select("doc_id", text.alias("text")).mapInPandas(run, f"doc_id {kind}, ids binary, tokens long, content long, row long")
 
 
 def _dealt(ids: DataFrame, shard_tokens: int) -> DataFrame:
     """ids with shard and shards: by content, and contents of over half a shard also by row."""
-    tokens = (F.octet_length("ids") / 4).cast("long")
-    total = ids.agg(F.sum(tokens)).first()[0] or 0  # one number
+    total = ids.agg(F.sum("tokens")).first()[0] or 0  # one number
     shards = int(max(1, -(-total // shard_tokens)))
     # fewer than two contents a shard can be that frequent: mostly none, and beyond BROADCAST_ROWS they are joined by a shuffle
-    hot = ids.groupBy("content").agg(F.sum(tokens).alias("n")).where(F.col("n") > shard_tokens // 2).select("content", F.ceil(2 * F.col("n") / shard_tokens).alias("salts"))
+    hot = ids.groupBy("content").agg(F.sum("tokens").alias("n")).where(F.col("n") > shard_tokens // 2).select("content", F.ceil(2 * F.col("n") / shard_tokens).alias("salts"))
     hot = written(hot, "hot-contents")
     if hot.count() <= BROADCAST_ROWS:
         hot = F.broadcast(hot)

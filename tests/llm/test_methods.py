@@ -96,6 +96,11 @@ def test_packing_ids_of_odd_characters():
         assert [c for c, x in zip(cases, ours(cases)) if np.array(tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes() != x] == []
 
 
+def test_packing_counts_tokens_beside_the_ids(docs):
+    ids = packing.tokenised(docs).collect()
+    assert ids and all(r.tokens == len(r.ids) // 4 for r in ids)
+
+
 def test_packing_scores_are_bm25():
     rnd = random.Random(6)
     docs = [np.array([rnd.randrange(40) for _ in range(rnd.randint(1, 60))] + [2], "<u4") for _ in range(30)] + [np.array([2], "<u4")]
