@@ -30,7 +30,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Bytes of text in a block, and of words (about WORD_SHARE of the text) in a partition of the word table.
 BLOCK_BYTES, PARTITION_BYTES, WORD_SHARE = 3 << 20, 1 << 22, 0.4
 #: Of compression, for what is shuffled.
-LEVEL = 9
+LEVEL = 5
 #: A lone space between two characters that are not white space always begins a word of the pre-tokeniser, so texts can be cut before it.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 
