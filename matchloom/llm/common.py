@@ -20,12 +20,13 @@ _S33 = np.uint64(33)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
-#: Rows sent to Python at once. Texts can be long, and a batch is held several times over on its way.
-BATCH_ROWS = 500
+#: Rows, and bytes of rows, sent to Python at once. Texts can be long, and a batch is held several times over on its way.
+BATCH_ROWS, BATCH_BYTES = 500, 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -75,6 +76,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW["p"][:n], _POW["q"][:n]
 
 
+#: Bytes of text whose words are hashed at once.
+SLICE = (1 << 16) - 1
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -90,10 +93,16 @@ class Words:
         gap = SPACE[b]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], gap)).astype(np.int8)))
         self.start, self.end = edge[0::2], edge[1::2]
-        p, q = _powers(len(b) + 1)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * p[:-1], dtype=np.uint64)))
-        size_of = (self.end - self.start).astype(np.uint64)
-        self.hash = mix((total[self.end] - total[self.start]) * q[self.start] + size_of)
+        self.hash = np.empty(len(self.start), np.uint64)
+        i = 0
+        while i < len(self.start):  # some words at a time, as sums and powers take 40 bytes a byte of text
+            a = self.start[i]
+            j = max(i + 1, int(np.searchsorted(self.end, a + SLICE, side="right")))
+            start, end = self.start[i:j] - a, self.end[i:j] - a
+            p, q = _powers(int(end[-1]) + 1)
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[b[a : a + end[-1]]] * p[:-1], dtype=np.uint64)))
+            self.hash[i:j] = mix((total[end] - total[start]) * q[start] + (end - start).astype(np.uint64))
+            i = j
         self.text = np.searchsorted(self.offset, self.start, side="right") - 1
         self.count = np.bincount(self.text, minlength=len(texts)).astype(np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.count)))  # of each text's words
