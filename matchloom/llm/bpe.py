@@ -13,11 +13,14 @@ import json
 import os
 import re
 import zlib
+from functools import cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -32,12 +35,19 @@ BLOCK_BYTES, PARTITION_BYTES, WORD_SHARE = 3 << 20, 1 << 22, 0.4
 #: Of compression, for what is shuffled.
 LEVEL = 5
 #: A lone space between two characters that are not white space always begins a word of the pre-tokeniser, so texts can be cut before it.
-CUT = re.compile(r"(?<=\S)(?= \S)")
+#: The space comes first in both patterns, as the search then looks at spaces alone.
+CUT, OTHER_SPACE = re.compile(r" (?<=\S )(?=\S)"), re.compile(r" (?:(?<!\S )|(?!\S))")
+
+
+def _cut(text: str) -> list[str]:
+    """The text's pieces, all but the first without the space that they begin with."""
+    return text.split(" ") if OTHER_SPACE.search(text) is None else CUT.split(text)
 
 
 def split_words(text: str) -> list[str]:
     """The text in pieces that can be encoded apart; most are one word with its space and punctuation."""
-    return CUT.split(text) if text else []
+    first, *rest = _cut(text)
+    return [*([first] if first else []), *(" " + w for w in rest)]
 
 
 def special_tokens(path: str) -> list[str]:
@@ -77,21 +87,67 @@ def _blocks(batches, block_bytes: int):
         yield part + k, ids, texts
 
 
-def _word_table(texts: list[str], partitions: int) -> tuple[list[list[str]], list[list[str]]]:
-    """(words of each text, distinct words of each partition in their order, in which they compress best)."""
-    parts = [split_words(t) for t in texts]
-    out: list[list[str]] = [[] for _ in range(partitions)]
-    for w in sorted(set(chain.from_iterable(parts))):
-        out[zlib.crc32(w.encode("utf-8", "surrogatepass")) % partitions].append(w)
-    return parts, out
+def _marked(text: str) -> list[str]:
+    """The text's pieces: the first one after a space as its mark, as no other begins with one; of an empty text none."""
+    out = _cut(text)
+    out[0] = " " + out[0]
+    return out if text else []
+
+
+def _word_table(texts: list[str], partitions: int) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """(words of each text, numbers of its words one after the other, distinct words by partition and sorted there, first word of each partition and the end)."""
+    parts = [_marked(t) for t in texts]
+    distinct = sorted(set(chain.from_iterable(parts)))  # in their order they compress best
+    number = dict(zip(distinct, range(len(distinct))))
+    size = np.array([len(p) for p in parts], np.int64)
+    seq = np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), np.int64, size.sum())
+    raw = as_bytes(distinct)
+    part = (pd.util.hash_array(np.array(raw, dtype=object), categorize=False) % np.uint64(partitions)).astype(np.int64) if raw else np.zeros(0, np.int64)
+    order = np.argsort(part, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return size, place[seq], [raw[i] for i in order.tolist()], np.searchsorted(part[order], np.arange(partitions + 1))
+
+
+def _encoded(tok: Tokenizer, words: list[bytes], length: np.ndarray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words one after the other, number of ids of each); words as _marked has them, length by id is that of its bytes.
+
+    Words after a space that end in no white space are encoded many at once: the space parts them, and the bytes of the ids say where one ends.
+    """
+    texts = [w.decode("utf-8", "surrogatepass") for w in words]
+    texts = [t[1:] if t.startswith(" ") else " " + t for t in texts]
+    joined = [i for i, w in enumerate(words) if not w.startswith(b" ") and not texts[i][-1].isspace()]
+    ids: list = [None] * len(texts)
+    for a in range(0, len(joined), 2_000):
+        some = joined[a : a + 2_000]
+        got = np.array(tok.encode_batch_fast(["".join([texts[i] for i in some])], add_special_tokens=False)[0].ids, kind)
+        end = np.cumsum(length[got])
+        want = np.cumsum([len(words[i]) + 1 for i in some])
+        at = np.searchsorted(end, want)
+        if len(end) and end[-1] == want[-1] and (end[at] == want).all():
+            for i, x in zip(some, np.split(got, at[:-1] + 1)):
+                ids[i] = x
+    rest = [i for i, x in enumerate(ids) if x is None]
+    for a in range(0, len(rest), 2_000):
+        some = rest[a : a + 2_000]
+        for i, e in zip(some, tok.encode_batch_fast([texts[i] for i in some], add_special_tokens=False)):
+            ids[i] = np.array(e.ids, kind)
+    return np.concatenate(ids) if ids else np.zeros(0, kind), np.array([len(x) for x in ids], np.int64)
+
+
+def _flat(numbers: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of the stretches first[i] to first[i] + size[i], for each i of numbers in turn."""
+    n = size[numbers]
+    return np.repeat(first[numbers] - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def encode(docs: DataFrame, path: str | None = None, stable: bool = False, block_bytes: int | None = None) -> DataFrame:
     """(doc_id, ids array<int>) for every row of docs(doc_id, text): the ids of the whole text.
 
     Null texts count as empty and give no ids. Rows whose doc_id is null or repeated each keep their own ids; other columns
-    are not read. An empty table gives an empty one. docs is read twice and must give its rows in the same order: unless the
-    caller says that it is stable (a scan of files), it is written to the shared folder first. Blocks that differ raise an error.
+    are not read. An empty table gives an empty one. A block's words and the row that says where they stand leave one task in one
+    shuffle, which is read twice; should it be made anew, docs must give its rows in the same order: unless the caller says that it is
+    stable (a scan of files), it is written to the shared folder first. Blocks that differ raise an error.
     """
     path, block_bytes = path or public_tokenizers.path(TOKENIZER), block_bytes or BLOCK_BYTES
     kind = dict(docs.dtypes)["doc_id"]
@@ -104,67 +160,66 @@ def encode(docs: DataFrame, path: str | None = None, stable: bool = False, block
     narrow = np.dtype("<u2" if _tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4")
 
     def ask(batches):
+        """Rows of words to their partition (dest from 0), and the block's own row with all else to dest -1 - block."""
         z = zstandard.ZstdCompressor(LEVEL)
-        for block, _, part in _blocks(batches, block_bytes):
-            check = zlib.crc32(b"".join(as_bytes(part)))
-            raw = [(f, as_bytes(w)) for f, w in enumerate(_word_table(part, partitions)[1]) if w]
-            out = [(f, block, check, z.compress(np.array([len(x) for x in w], "<u4").tobytes()), sum(map(len, w)), z.compress(b"".join(w))) for f, w in raw]
-            yield pd.DataFrame(out, columns=["frag", "block", "check", "sizes", "raw", "words"])
-
-    def answer(pdf):
+        for block, ids, part in _blocks(batches, block_bytes):
+            size, seq, words, edge = _word_table(part, partitions)
+            check = zlib.crc32(seq.tobytes(), zlib.crc32(b"".join(words)))
+            fill = "" if kind == "string" else 0
+            absent = [i is None or i != i for i in ids]
+            planes = seq.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+            out = [(-1 - block, block, check, z.compress(size.astype("<u4").tobytes()), len(seq), z.compress(planes), [fill if x else i for i, x in zip(ids, absent)], absent)]
+            for f in np.flatnonzero(np.diff(edge)).tolist():
+                some = words[edge[f] : edge[f + 1]]
+                raw = b"".join(some)
+                out.append((f, block, check, z.compress(np.array([len(x) for x in some], "<u4").tobytes()), len(raw), z.compress(raw), [], []))
+            yield pd.DataFrame(out, columns=["dest", "block", "check", "sizes", "raw", "data", "doc_ids", "absent"])
+
+    def answer(key, pdf):
         """Each distinct word of the partition is encoded once, whatever number of blocks asks."""
+        if key[0] < 0:
+            return pd.DataFrame(columns=["dest", "block", "frag", "check", "sizes", "ids"], dtype=object)
         z, c, tok = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(3), _shared_tokenizer(path)
         number: dict[bytes, int] = {}
         asked = []
-        for sizes, raw, words in zip(pdf["sizes"], pdf["raw"], pdf["words"]):
+        for sizes, raw, words in zip(pdf["sizes"], pdf["raw"], pdf["data"]):
             text, end = z.decompress(words, max_output_size=max(1, int(raw))), np.cumsum(np.frombuffer(z.decompress(sizes), "<u4")).tolist()
-            asked.append(np.array([number.setdefault(text[a:b], len(number)) for a, b in zip([0, *end[:-1]], end)]))
-        every, ids = list(number), []
+            some = [text[a:b] for a, b in zip([0, *end[:-1]], end)]
+            new = [w for w in some if w not in number]
+            number.update(zip(new, range(len(number), len(number) + len(new))))
+            asked.append(np.fromiter(map(number.__getitem__, some), np.int64, len(some)))
+        every = list(number)
         del number
-        for a in range(0, len(every), 2_000):
-            some = [w.decode("utf-8", "surrogatepass") for w in every[a : a + 2_000]]
-            ids += [np.array(e.ids, narrow) for e in tok.encode_batch_fast(some, add_special_tokens=False)]
-        size = np.array([len(x) for x in ids])
-        flat, first = np.concatenate(ids), np.cumsum(size) - size
-        out = []
+        flat, size = _encoded(tok, every, _lengths(path), narrow)
+        first = np.cumsum(size) - size
+        sizes, found = [], []
         for w in asked:
-            n = size[w]
-            at = np.repeat(first[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append((c.compress(n.astype("<u4").tobytes()), c.compress(flat[at].tobytes())))
-        sizes, found = zip(*out)
-        return pd.DataFrame({"block": pdf["block"], "frag": pdf["frag"], "check": pdf["check"], "sizes": sizes, "ids": found})
-
-    def pack(batches):
-        z = zstandard.ZstdCompressor(LEVEL)
-        for block, ids, part in _blocks(batches, block_bytes):
-            raw = as_bytes(part)
-            absent = [i is None or i != i for i in ids]
-            fill = "" if kind == "string" else 0
-            row = {"block": block, "doc_ids": [fill if x else i for i, x in zip(ids, absent)], "absent": absent, "sizes": np.array([len(x) for x in raw], np.int32), "raw": sum(map(len, raw)), "texts": z.compress(b"".join(raw))}
-            yield pd.DataFrame([row])
+            sizes.append(c.compress(size[w].astype("<u4").tobytes()))
+            found.append(c.compress(flat[_flat(w, first, size)].tobytes()))
+        return pd.DataFrame({"dest": -1 - pdf["block"], "block": pdf["block"], "frag": key[0], "check": pdf["check"], "sizes": sizes, "ids": found})
 
     def lay(left, right):
-        z, out = zstandard.ZstdDecompressor(), []
-        for row in left.itertuples(index=False):
-            raw = z.decompress(row.texts, max_output_size=max(1, int(row.raw)))
-            if len(right) and (right["check"] != zlib.crc32(raw)).any():
-                raise ValueError("the documents came in another order when they were read again")
-            end = np.cumsum(row.sizes).tolist()
-            parts, words = _word_table([raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *end[:-1]], end)], partitions)
-            memo: dict[str, bytes] = {}
-            for frag, sizes, ids in zip(right["frag"], right["sizes"], right["ids"]):
-                flat = z.decompress(ids)
-                at = (np.cumsum(np.frombuffer(z.decompress(sizes), "<u4")) * narrow.itemsize).tolist()
-                memo.update((w, flat[a:b]) for w, a, b in zip(words[frag], [0, *at[:-1]], at, strict=True))
-            get = memo.__getitem__
-            found = [np.frombuffer(b"".join(map(get, p)), narrow).astype(np.int32) for p in parts]
-            out.append(pd.DataFrame({"doc_id": pd.Series([None if x else i for i, x in zip(row.doc_ids, row.absent)], dtype=object), "ids": found}))
-        return pd.concat(out)
-
-    asked = texts.mapInPandas(ask, "frag int, block long, check long, sizes binary, raw long, words binary")
-    answers = asked.groupBy("frag").applyInPandas(answer, "block long, frag int, check long, sizes binary, ids binary")
-    packed = texts.mapInPandas(pack, f"block long, doc_ids array<{kind}>, absent array<boolean>, sizes array<int>, raw long, texts binary")
-    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lay, f"doc_id {kind}, ids array<int>")
+        if not len(left) or left["dest"][0] >= 0:
+            return pd.DataFrame(columns=["doc_id", "ids"], dtype=object)
+        z, row = zstandard.ZstdDecompressor(), left.iloc[0]
+        if len(left) > 1 or (right["check"] != row["check"]).any():
+            raise ValueError("the documents came in another order when they were read again")
+        right = right.sort_values("frag")
+        words = np.cumsum(np.frombuffer(z.decompress(row["sizes"]), "<u4").astype(np.int64))
+        n = int(row["raw"])
+        planes = np.frombuffer(z.decompress(row["data"], max_output_size=max(1, 4 * n)), np.uint8)
+        seq = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+        size = np.frombuffer(b"".join(z.decompress(x) for x in right["sizes"]), "<u4").astype(np.int64)
+        flat = np.frombuffer(b"".join(z.decompress(x) for x in right["ids"]), narrow)
+        if n and seq.max() >= len(size):
+            raise ValueError("words of a block have no answer")
+        ids = flat[_flat(seq, np.cumsum(size) - size, size)].astype(np.int32)
+        end = np.concatenate(([0], np.cumsum(size[seq])))[words]
+        return pd.DataFrame({"doc_id": pd.Series([None if x else i for i, x in zip(row["doc_ids"], row["absent"])], dtype=object), "ids": np.split(ids, end[:-1])})
+
+    asked = texts.mapInPandas(ask, f"dest long, block long, check long, sizes binary, raw long, data binary, doc_ids array<{kind}>, absent array<boolean>")
+    answers = asked.groupBy("dest").applyInPandas(answer, "dest long, block long, frag int, check long, sizes binary, ids binary")
+    return asked.groupBy("dest").cogroup(answers.groupBy("dest")).applyInPandas(lay, f"doc_id {kind}, ids array<int>")
 
 
 def pieces(path: str | None = None) -> list[bytes]:
@@ -180,6 +235,11 @@ def pieces(path: str | None = None) -> list[bytes]:
     return out
 
 
+@cache
+def _lengths(path: str) -> np.ndarray:
+    return np.array([len(x) for x in pieces(path)], np.int64)
+
+
 def decode(encoded: DataFrame, path: str | None = None, digest: bool = False) -> DataFrame:
     """(doc_id, ids, text) for encoded(doc_id, ids): each id joined to its piece, pieces laid end to end and read as UTF-8.
 
@@ -188,23 +248,28 @@ def decode(encoded: DataFrame, path: str | None = None, digest: bool = False) ->
     numbers, taken in the same task.
     """
     spark, table_of = encoded.sparkSession, pieces(path)
-    sent = spark.sparkContext.broadcast(np.array([*table_of, b""], dtype=object))
+    sent = spark.sparkContext.broadcast([*table_of, b""])
 
     def run(batches):
-        lookup = sent.value
+        lookup = pa.array(sent.value, pa.binary())
         last = len(lookup) - 1
-        for pdf in batches:
-            texts = []
-            for ids in pdf["ids"]:
-                i = np.asarray([] if ids is None else ids, np.int64)
-                texts.append(b"".join(lookup[np.where((i < 0) | (i > last), last, i)].tolist()).decode("utf-8", "replace"))
-            out = pdf.assign(text=texts)
+        for batch in batches:
+            ids = batch.column("ids")
+            size = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+            flat = ids.flatten()  # without what null rows hide
+            i = pc.fill_null(flat, -1).to_numpy(zero_copy_only=False)
+            found = lookup.take(pa.array(np.where((i < 0) | (i > last), last, i)))
+            first = np.concatenate(([0], np.cumsum(size)))
+            at = np.frombuffer(found.buffers()[1], np.int32)[first].tolist() if len(found) else [0] * len(first)
+            raw = memoryview(found.buffers()[2]) if len(found) and found.buffers()[2] else memoryview(b"")
+            columns = [batch.column("doc_id"), ids, pa.array([str(raw[a:b], "utf-8", "replace") for a, b in zip(at[:-1], at[1:])], pa.string())]
             if digest:
-                out["ids_sha256"] = [hashlib.sha256(np.asarray([] if i is None else i, "<u4").tobytes()).hexdigest() for i in pdf["ids"]]
-            yield out
+                plain, first = i.astype("<u4"), first.tolist()
+                columns.append(pa.array([hashlib.sha256(plain[a:b]).hexdigest() for a, b in zip(first[:-1], first[1:])], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text", "ids_sha256"][: len(columns)])
 
     kind = dict(encoded.dtypes)["doc_id"]
-    return encoded.select("doc_id", "ids").mapInPandas(run, f"doc_id {kind}, ids array<int>, text string" + ", ids_sha256 string" * digest)
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, text string" + ", ids_sha256 string" * digest)
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
