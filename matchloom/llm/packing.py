@@ -174,6 +174,12 @@ class _Index:
         return query @ self.matrix + np.bincount(self.row[at], weights=self.weight[at] * np.repeat(times, size), minlength=self.n)
 
 
+def _best_last(score: np.ndarray) -> list[int]:
+    """The places of positive scores, the highest one last, of equal ones the first one later."""
+    some = np.flatnonzero(score > 0)
+    return some[np.argsort(-score[some], kind="stable")][::-1].tolist()
+
+
 def _fill(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece of a shard."""
     index = _Index(docs)
@@ -206,9 +212,7 @@ def _fill(docs: list[np.ndarray], window: int) -> list[tuple[int, int, int, int,
                 return out
             i = begin
         if place(i) or not queue:
-            score = np.where(unused, index.scores(i), -1)
-            best = np.argsort(-score, kind="stable")
-            queue = [int(k) for k in best[::-1] if score[k] > 0]
+            queue = _best_last(np.where(unused, index.scores(i), -1))
 
 
 def _contents(ids: list[bytes]) -> np.ndarray:
