@@ -62,14 +62,13 @@ def words_of(text: str | None) -> list[str]:
 
 
 def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, weight) of a text: all subwords of all its words have the same share."""
+    """(bucket, times) of all subwords of all of a text's words."""
     count = Counter(words_of(text))
     if not count:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
     found, word = subwords_of(list(count))
     ids, where = np.unique(found, return_inverse=True)
-    times = np.array(list(count.values()), float)[word]
-    return ids, np.bincount(where, weights=times / times.sum()).astype(np.float32)
+    return ids, np.bincount(where, weights=np.array(list(count.values()), float)[word]).astype(np.int64)
 
 
 class Model:
@@ -89,36 +88,46 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model | None:
     if not 0 < y.sum() < len(y):
         return None
     rng = np.random.default_rng(seed)
-    bags = [_bag(t) for t in texts]
     # a bucket of few documents says more about those than about the label: its vector stays zero
     least = max(MIN_DOCS, len(y) // RARE)
-    df = np.zeros(BUCKETS, np.int64)
-    for i, _ in bags:
+    df, most = np.zeros(BUCKETS, np.int64), 0
+    for t in texts:
+        i, n = _bag(t)
         df[i] += 1
-    bags = [(i[k], v[k]) for i, v in bags for k in [df[i] >= least]]
-    e = rng.normal(0, 0.1, (BUCKETS, DIM)) * (df >= least)[:, None]
+        most = max(most, n.max(initial=0))
+    kept = df >= least
+    number = np.cumsum(kept) - 1
+    # bags are made twice and laid end to end, as the driver has little memory: all subwords of all words of a text have the same share
+    bucket, times = np.empty(df[kept].sum(), np.int32), np.empty(df[kept].sum(), np.min_scalar_type(most))
+    edge, share = np.zeros(len(y) + 1, np.int64), np.zeros(len(y))
+    for k, t in enumerate(texts):
+        i, n = _bag(t)
+        some = kept[i]
+        edge[k + 1] = edge[k] + some.sum()
+        bucket[edge[k] : edge[k + 1]], times[edge[k] : edge[k + 1]], share[k] = number[i[some]], n[some], 1 / max(n.sum(), 1)
+    e = rng.normal(0, 0.1, (BUCKETS, DIM))[kept]
     w = rng.normal(0, 0.5, DIM)
     b = 0.0
-    ge, gw, gb = np.full(BUCKETS, 1e-8), np.full(DIM, 1e-8), 1e-8
+    ge, gw, gb = np.full(len(e), 1e-8), np.full(DIM, 1e-8), 1e-8
     epochs = max(EPOCHS, STEPS * BATCH // len(y))
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         rate = RATE * (1 - epoch / epochs)
         for a in range(0, len(order), BATCH):
-            some = [i for i in order[a : a + BATCH] if len(bags[i][0])]
+            some = [i for i in order[a : a + BATCH] if edge[i] < edge[i + 1]]
             if not some:
                 continue
-            size = [len(bags[i][0]) for i in some]
-            ids = np.concatenate([bags[i][0] for i in some])
-            wt = np.concatenate([bags[i][1] for i in some])
+            size = edge[1:][some] - edge[some]
+            ids = np.concatenate([bucket[edge[i] : edge[i + 1]] for i in some])
             row = np.repeat(np.arange(len(some)), size)
+            wt = (np.concatenate([times[edge[i] : edge[i + 1]] for i in some]) * share[some][row]).astype(np.float32)
             first = np.concatenate(([0], np.cumsum(size)[:-1]))
             doc = np.add.reduceat(e[ids] * wt[:, None], first, axis=0)
             p = 1 / (1 + np.exp(-np.clip(doc @ w * SCALE + b, -30, 30)))
             g = (p - y[some]) / len(some)
             # the gradient of a bucket is a multiple of w
-            u, where = np.unique(ids, return_inverse=True)
-            s = np.bincount(where, weights=wt * g[row], minlength=len(u)) * SCALE
+            u = np.flatnonzero(np.bincount(ids, minlength=len(e)))
+            s = np.bincount(ids, weights=wt * g[row], minlength=len(e))[u] * SCALE
             ge[u] += s * s * (w @ w)
             step = rate * s / np.sqrt(ge[u])
             e[u] -= step[:, None] * w + DECAY * e[u]
@@ -127,7 +136,9 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model | None:
             gb += db * db
             w -= 0.2 * rate * dw / np.sqrt(gw)
             b -= 0.2 * rate * db / np.sqrt(gb)
-    return Model(e, w * SCALE, b)
+    embedding = np.zeros((BUCKETS, DIM))
+    embedding[kept] = e
+    return Model(embedding, w * SCALE, b)
 
 
 def held_out(doc_id) -> F.Column:
@@ -155,9 +166,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
         .orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id", "text")
         .limit(sample)
         .select("text", "toxic")
-        .toPandas()
+        .toArrow()
     )
-    return train(list(rows["text"]), [int(t > 0) for t in rows["toxic"]])
+    texts, marks = rows["text"].to_pylist(), rows["toxic"].to_pylist()
+    del rows
+    return train(texts, [int(t > 0) for t in marks])
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
