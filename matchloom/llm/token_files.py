@@ -14,12 +14,13 @@ sequences before each shard. Files of a task that failed or ran twice are never
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 import uuid
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -46,11 +47,12 @@ MANIFEST = "_manifest.json"
 
 
 class ByteTokens:
-    """Token ids of whole texts by a byte-level BPE tokenizer, each string between lone spaces encoded once and remembered.
+    """Token ids of whole texts by a byte-level BPE tokenizer, each string between lone spaces and line ends encoded once and remembered.
 
-    A space with a character that is no white space beside it begins a word of the tokenizer's pattern, so texts can be cut there. Plain
-    words, with marks at their end or not, go to the tokenizer's model, many in one call; strings of anything else go to the tokenizer
-    itself, as do texts with special tokens. Strings are remembered without the space before them.
+    A space with a character that is no white space beside it begins a word of the tokenizer's pattern, and a line's end between two such
+    characters is a word of its own, so texts can be cut there. Plain words, with marks at their end or not, go to the tokenizer's model, many
+    in one call; strings of anything else go to the tokenizer itself, as do texts with special tokens. Strings are remembered without the
+    space before them, those after a line's end with LINE in its place.
     """
 
     #: Strings remembered in a generation. Two are kept: what the older one knows moves to the newer one when it is met again.
@@ -58,8 +60,8 @@ class ByteTokens:
     WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
     #: A run of these after letters is one word of the tokenizer's pattern; with an apostrophe it may not be.
     MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-    #: Two words at the end of a line and the beginning of the next.
-    LINES = re.compile(rf"([A-Za-zÀ-ÖØ-öø-ɏ]+)([{re.escape(MARKS)}]*)\n([A-Za-zÀ-ÖØ-öø-ɏ]+)([{re.escape(MARKS)}]*)")
+    #: Stands for a line's end at the start of a string; texts that hold it go to the tokenizer whole.
+    LINE, LONE = "\x01", re.compile(r"\n(?<=\S\n)(?=\S)")
     BESIDE, CUT = re.compile(r"\s \s"), re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str):
@@ -73,7 +75,8 @@ class ByteTokens:
         self.model = Tokenizer(model)
         self.model.pre_tokenizer = WhitespaceSplit()
         vocabulary = self.tok.get_vocab(with_added_tokens=True)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        #: Texts with one of these go to the tokenizer whole.
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()] + [self.LINE]
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         self.stands = np.arange(256, dtype="<u4")
         other = np.setdiff1d(np.arange(256), printable)
@@ -111,48 +114,61 @@ class ByteTokens:
                 memo.update((w, raw[a:b]) for w, a, b in zip(part, begin, end, strict=True))
         return out
 
-    def _learn(self, strings: set[str]) -> None:
-        memo, word, lines = self.memo, self.WORD.fullmatch, self.LINES.fullmatch
-        words, marked, broken, rest = set(), [], [], []
+    def _learn(self, strings: Iterable[str]) -> None:
+        memo, word = self.memo, self.WORD.fullmatch
+        words, bare, marked, broken, rest = set(), set(), [], [], []
         for s in strings:
-            if word(s):
-                words.add(s)
-                continue
             w = s.rstrip(self.MARKS)
-            if w and word(w):
-                marked.append((s, w, s[len(w) :]))
+            if w.isascii() and w.isalpha() or word(w):
                 words.add(w)
-            elif m := lines(s):
-                broken.append((s, *m.groups()))
-                words.add(m[1])
+                if w is not s:
+                    marked.append((s, w, s[len(w) :]))
+            elif w[:1] == self.LINE and word(w, 1):
+                bare.add(w[1:])
+                broken.append((s, w[1:], s[len(w) :]))
             else:
                 rest.append(s)
-        bare = self._learn_words(list(words.difference(memo)), list({x[3] for x in broken}))
-        memo.update(zip(rest, self._encode([" " + s for s in rest])))
-        marks = dict.fromkeys(m for _, _, m in marked) | dict.fromkeys(m for x in broken for m in (x[2], x[4])) | {"\n": None}
-        marks = dict(zip(marks, self._encode(list(marks))))
-        for s, w, m in marked:
-            memo[s] = memo[w] + marks[m]
-        for s, w, m, v, n in broken:
-            memo[s] = memo[w] + marks[m] + marks["\n"] + bare[v] + marks[n]
+        bare = self._learn_words(list(words.difference(memo)), list(bare))
+        memo.update(zip(rest, self._encode(["\n" + s[1:] if s[:1] == self.LINE else " " + s for s in rest])))
+        marks = list({m for x in (marked, broken) for _, _, m in x} | {"\n"})
+        marks = dict(zip(marks, self._encode(marks)))
+        memo.update([(s, memo[w] + marks[m]) for s, w, m in marked])
+        memo.update([(s, marks["\n"] + bare[w] + marks[m]) for s, w, m in broken])
 
     def _strings(self, text: str) -> list[str] | None:
         if any(s in text for s in self.special):
             return None
+        if "\n" in text:
+            text = self.LONE.sub(" " + self.LINE, text)
         return self.CUT.split(text) if self.BESIDE.search(text) else text.split(" ")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """ids as little-endian unsigned 32-bit numbers."""
+        was = gc.isenabled()
+        gc.disable()  # nothing here is in a cycle, and the collector would look through all new tuples again and again
+        try:
+            return self._ids(texts)
+        finally:
+            if was:
+                gc.enable()
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > self.LIMIT:
             self.old, self.memo = self.memo, {}
-        parts = [self._strings(t) for t in texts]
-        missing = set().union(*(p[1:] for p in parts if p)).difference(self.memo)
-        known = self.old.keys() & missing
-        self.memo.update((s, self.old[s]) for s in known)
-        self._learn(missing - known)
-        heads = iter(self._encode([t if p is None else p[0] for t, p in zip(texts, parts)]))  # no space is before these
-        get = self.memo.__getitem__
-        out = (next(heads) + b"".join(map(get, p[1:] if p else ())) for p in parts)
+        parts = [self._strings(t) or [t] for t in texts]
+        heads = self._encode([p[0] for p in parts])  # no space is before these
+        strings = [s for p in parts for s in p[1:]]
+        found = list(map(self.memo.get, strings))
+        if None in found:
+            new = [i for i, x in enumerate(found) if x is None]
+            missing = {strings[i] for i in new}
+            known = self.old.keys() & missing
+            self.memo.update((s, self.old[s]) for s in known)
+            self._learn(missing - known)
+            for i in new:
+                found[i] = self.memo[strings[i]]
+        end = list(accumulate(len(p) - 1 for p in parts))
+        out = (h + b"".join(found[a:b]) for h, a, b in zip(heads, [0, *end], end))
         return [np.frombuffer(x, self.dtype).astype("<u4").tobytes() for x in out]
 
 
