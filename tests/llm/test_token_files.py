@@ -105,3 +105,12 @@ def test_query(spark, tok):
     docs = pd.read_parquet(f"{DATA}/documents.parquet")
     got = sorted(tuple(r) for r in T.op12_token_files(spark, DATA).collect())
     assert got == expected(tok, list(zip(docs["doc_id"], docs["text"])))
+
+
+def test_lines_do_not_make_strings_of_word_pairs(tok):
+    make = T.ByteTokens(public_tokenizers.path(T.TOKENIZER))
+    words = [a + b for a in ("one", "Two", "thrée", "4", "don't") for b in ("", ".", ",!", "5")]
+    texts = [f"x {v}\n{w} y" for v in words for w in words] + ["x \x01one", "x\n\x01one", "a\n\nb \nc\n d \n e\n", "\none\n'two"]
+    for text, ids in zip(texts, make(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+    assert len(make.memo) < 4 * len(words)
