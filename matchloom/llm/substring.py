@@ -231,7 +231,7 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
 
     again has the windows of keys with more contents and documents than these three can be, one for each content and document that has it first.
     """
-    cols = ["block", "frag", "n", "index", "partner", "at", "same", "again"]
+    cols = ["block", "frag", "rows", "own", "partner", "at", "same", "again"]
     get = lambda c, t: np.concatenate([_from_planes(b, t) for b in pdf[c]])
     keys = [_unplanes(b) for b in pdf["keys"]]
     n = np.array([len(k) for k in keys])
@@ -263,7 +263,6 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     by = np.argsort(seg[own], kind="stable")
     own, other, equal = own[by], other[by], equal[by]
     edge = np.searchsorted(seg[own], np.arange(len(pdf) + 1))
-    begin = np.concatenate(([0], np.cumsum(n)))
     group = np.cumsum(new_key) - 1
     contents = np.bincount(group[origin == i], minlength=group[-1] + 1 if len(k) else 0)
     documents = np.bincount(group[new_doc], minlength=len(contents))
@@ -278,7 +277,7 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     for j, (block, frag) in enumerate(zip(pdf["block"], pdf["frag"])):
         o, p, e = own[edge[j] : edge[j + 1]], other[edge[j] : edge[j + 1]], equal[edge[j] : edge[j + 1]]
         rest = again[cut[last[j] : last[j + 1]]].tobytes()
-        out.append((block, frag, n[j], _by_plane((o - begin[j]).astype(np.int32)), _by_plane(number[p]), _by_plane(at[p].T.ravel()), e.tobytes(), rest))
+        out.append((block, frag, _by_plane(rows[o]), _by_plane(at[o].T.ravel()), _by_plane(number[p]), _by_plane(at[p].T.ravel()), e.tobytes(), rest))
     return pd.DataFrame(out, columns=cols)
 
 
@@ -326,19 +325,14 @@ def _stretches(row, c, l, r, f, partner, at, same, least: int, hashes: int, enou
     return out
 
 
-def _candidates(g: Grams, right: pd.DataFrame, width: int, least: int, hashes: int, enough: int, frequent):
-    """_stretches of a block with the partners that _answer names."""
-    right = right.sort_values("frag")
-    key, row, c, l, r, f = _windows(g, width, hashes, frequent)
-    begin = np.concatenate(([0], np.cumsum(right["n"])[:-1])).astype(np.int64) if len(right) else []
-    idx = [b + _from_planes(x, np.int32) for b, x in zip(begin, right["index"])]
-    if not idx or not sum(map(len, idx)):
-        return []
-    idx = np.concatenate(idx)
-    partner = np.concatenate([_from_planes(x, np.int64) for x in right["partner"]])
-    at = np.concatenate([_from_planes(x, np.int32).reshape(3, -1).T for x in right["at"]]).astype(np.int64)
-    same = np.concatenate([np.frombuffer(x, bool) for x in right["same"]])
-    return _stretches(row[idx], c[idx], l[idx], r[idx], f[idx], partner, at, same, least, hashes, enough)
+def _candidates(answers: pd.DataFrame, least: int, hashes: int, enough: int) -> list[tuple]:
+    """_stretches of a block's windows with the partners that _answer names; both come from the answers, so no text is read."""
+    answers = answers.sort_values("frag")
+    get = lambda c, t: np.concatenate([_from_planes(x, t) for x in answers[c]])
+    places = lambda c: np.concatenate([_from_planes(x, np.int32).reshape(3, -1) for x in answers[c]], axis=1).astype(np.int64)
+    rows, same = get("rows", np.int32).astype(np.int64), np.concatenate([np.frombuffer(x, bool) for x in answers["same"]])
+    row, f = rows & ((1 << FUNCTION_BITS) - 1), rows >> FUNCTION_BITS
+    return _stretches(row, *places("own"), f, get("partner", np.int64), places("at").T, same, least, hashes, enough)
 
 
 def _open(batches, rest: int):
@@ -486,19 +480,18 @@ def near_duplicate_passages(
                 yield pd.DataFrame(out, columns=["frag", "block", "keys", "docs", "rows", "c", "before", "after", "contents"])
 
     asked = blocks.mapInPandas(ask, "frag int, block long, keys binary, docs binary, rows binary, c binary, before binary, after binary, contents binary")
-    answers = written(asked.groupBy("frag").applyInPandas(_answer, "block long, frag int, n int, index binary, partner binary, at binary, same binary, again binary"), "answers")
+    answers = written(asked.groupBy("frag").applyInPandas(_answer, "block long, frag int, rows binary, own binary, partner binary, at binary, same binary, again binary"), "answers")
 
     def wanting(out):
         out = pd.DataFrame(out, columns=["block", "a_row", "a0", "a1", "partner", "b0", "b1"]).astype("int64")
         out = out.assign(a0=np.maximum(out["a0"] - hang, 0), a1=out["a1"] + hang, b0=np.maximum(out["b0"] - hang, 0), b1=out["b1"] + hang)
         return out.assign(b_block=out["partner"] // (1 << ROW_BITS), b_row=out["partner"] % (1 << ROW_BITS)).drop(columns="partner")
 
-    def request(left, right):
-        out = [(row.block, *x) for row in left.itertuples(index=False) for x in _candidates(Grams(row, n), right, width, least, hashes, enough, sent.value)]
-        return wanting(out)
+    def request(key, pdf):
+        return wanting([(key[0], *x) for x in _candidates(pdf, least, hashes, enough)])
 
     schema = "block long, a_row long, a0 long, a1 long, b0 long, b1 long, b_block long, b_row long"
-    asks = written(blocks.groupBy("block").cogroup(answers.drop("again").groupBy("block")).applyInPandas(request, schema), "passages")
+    asks = written(answers.drop("again").groupBy("block").applyInPandas(request, schema), "passages")
 
     def fetch(left, right):
         out = []
