@@ -10,6 +10,9 @@ equi-joins and every pair is verified by edit distance.
 Few letters left in a signature can bring many words together. Words of a signature with over CROWD words meet under it only
 together with a half of the word: of two words one edit apart, with the shorter of m letters, either the first m // 2 letters or the
 last m - m // 2 are equal. This loses no pair, and no signature's words are all held against each other.
+
+Tables here grow with the vocabulary, and Spark takes an exploded one for as small as the file it comes from. Joins are therefore
+merge joins by hint: none is broadcast, so none passes through the driver.
 """
 
 from __future__ import annotations
@@ -75,13 +78,13 @@ def near_pairs(words: DataFrame, crowd: int = CROWD, k: int = K, first: int = FI
     """(a, b) with a < b for all pairs of distinct words of words(word) that differ by exactly one inserted, deleted or replaced code point, once each."""
     signed = words.select("word", F.explode(signatures(F.col("word"), k, first, second)).alias("sig"))
     crowds = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    some = signed.join(crowds, "sig")
+    some = signed.join(crowds.hint("merge"), "sig")
     few = some.where(F.col("size") <= crowd).select("sig", F.lit(0).cast("long").alias("half"), "word")
     many = some.where(F.col("size") > crowd).select("sig", F.explode(_halves(F.col("word"))).alias("half"), "word")
     keyed = few.unionByName(many)
     a, b = keyed.select("sig", "half", F.col("word").alias("a")), keyed.select("sig", "half", F.col("word").alias("b"))
     close = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b", 1) == 1)
-    return a.join(b, ["sig", "half"]).where(close).select("a", "b").distinct()
+    return a.join(b.hint("merge"), ["sig", "half"]).where(close).select("a", "b").distinct()
 
 
 def roots(forms: DataFrame, most: int, ratio: int = RATIO) -> DataFrame:
@@ -93,7 +96,7 @@ def roots(forms: DataFrame, most: int, ratio: int = RATIO) -> DataFrame:
     jump = forms.select("word", F.col("form").alias("root"))
     for _ in range(math.ceil(math.log2(steps)) if steps > 1 else 0):
         on = jump.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        jump = written(jump.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root")), "spelling-roots")
+        jump = written(jump.join(on.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root")), "spelling-roots")
     return jump
 
 
@@ -106,15 +109,15 @@ def spelling_variants(docs: DataFrame, ratio: int = RATIO, **counts) -> DataFram
     words = written(word_counts(docs, **counts), "spelling-words")
     pairs = near_pairs(words)
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near")).union(pairs.select(F.col("b"), F.col("a")))
-    best = both.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near").groupBy("word").agg(
+    best = both.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")).hint("merge"), "near").groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), F.col("near"))).alias("best")
     )
-    joined = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.col("best.near").alias("near"), (-F.col("best.minus")).alias("near_n"))
+    joined = words.join(best.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.col("best.near").alias("near"), (-F.col("best.minus")).alias("near_n"))
     takes = F.col("near_n") >= F.col("n") * ratio
     rated = written(joined.select("word", "n", "n_near", F.when(takes, F.col("near")).alias("form"), F.when(takes, F.col("near_n")).alias("form_n")), "spelling-forms")
     most = words.agg(F.max("n")).first()[0] or 1  # one number
     chains = roots(rated.where("form is not null"), most, ratio)
-    return rated.join(chains, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return rated.join(chains.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,3 +126,24 @@ def test_query(spark):
 
     docs = pd.read_parquet(f"{DATA}/documents.parquet")
     assert found(S.op13_spelling_variants(spark, DATA)) == brute(list(zip(docs["doc_id"], docs["text"])))
+
+
+def test_no_table_is_broadcast(spark, monkeypatch):
+    """Spark takes tables of exploded signatures for as small as the words' file; a broadcast of them is the driver's memory."""
+    plans, write = [], S.written
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def written(df, name):
+        plans.append(plan(df))
+        return write(df, name)
+
+    monkeypatch.setattr(S, "written", written)
+    counts = {"spelling": 5000, "speling": 1000, "spling": 200, "splings": 40, "spllings": 8}
+    docs = spark.createDataFrame([(None, " ".join([w] * n)) for w, n in counts.items()], "doc_id long, text string")
+    out = S.spelling_variants(docs, every=1 << 40)
+    assert len(out.collect()) == 5
+    pairs = S.near_pairs(spark.createDataFrame([(w,) for w in counts], "word string"), crowd=1)
+    assert len(pairs.collect()) == 4
+    plans += [plan(out), plan(pairs)]
+    assert len(plans) >= 5 and sum("SortMergeJoin" in p for p in plans) >= 4
+    assert not [p for p in plans if "Broadcast" in p]
