@@ -11,15 +11,23 @@ from pyspark.sql import functions as F
 Z, SURE = 1.96, (0.1, 0.9)
 
 
-def impact_by_side(wp: DataFrame) -> DataFrame:
+def impact_by_side(wp: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """(item, side, matches, impact, carry, liability, critical, net) of wp(match_id, item, side, wpa).
 
     An item's impact in a match is the sum of its deltas. In every match the (item, side) with the largest sum carries, the one with the least is
     the liability, the one with the single largest absolute delta is critical (ties: the first in order of item and side); net is carry less
     liability. Null deltas count as 0, rows without an item take no part.
+
+    Sums that are equal but for the last bits of a double go to one or the other by the order they are added in. With `order`, columns that
+    tell a match's events apart, they are added one after another in that order, whatever the partitions, partial sums and spills.
     """
-    w = F.coalesce("wpa", F.lit(0.0))
-    g = wp.where("item is not null").groupBy("match_id", "item", "side").agg(F.sum(w).alias("total"), F.max(F.abs(w)).alias("peak"))
+    key, w = ["match_id", "item", "side"], F.coalesce("wpa", F.lit(0.0))
+    rows = wp.where("item is not null").select(*key, w.alias("_w"), *order)
+    if order:
+        whole = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        g = rows.withColumn("_total", F.sum("_w").over(whole)).groupBy(*key).agg(F.max("_total").alias("total"), F.max(F.abs("_w")).alias("peak"))
+    else:
+        g = rows.groupBy(*key).agg(F.sum("_w").alias("total"), F.max(F.abs("_w")).alias("peak"))
     who = F.struct("item", "side")
     picks = g.groupBy("match_id").agg(F.min_by(who, F.struct(-F.col("total"), who)).alias("carry"), F.min_by(who, F.struct(F.col("total"), who)).alias("liability"), F.min_by(who, F.struct(-F.col("peak"), who)).alias("critical"))
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("as"), F.col(c).alias("who")) for c in ("carry", "liability", "critical"))))

@@ -21,7 +21,7 @@ add = reg.add
 
 _r9 = lambda df: df.select(*(F.round(c, 9).alias(c) if t == "double" else c for c, t in df.dtypes))
 
-add("e21_item_impact", lambda s, d: M.impact_by_side(_delta(s, d).withColumn("wpa", F.round("wpa", 9))).withColumn("impact", F.round("impact", 6)),
+add("e21_item_impact", lambda s, d: M.impact_by_side(_delta(s, d).withColumn("wpa", F.round("wpa", 9)), ["tick", "event_id"]).withColumn("impact", F.round("impact", 6)),
     f"""with {_W}, g as (select match_id, item, side, sum(round(wpa, 9)::double) as total, max(abs(round(wpa, 9)::double)) as peak from w group by 1, 2, 3),
 k as (select match_id, arg_min((item, side), (-total, item, side)) as carry, arg_min((item, side), (total, item, side)) as liability, arg_min((item, side), (-peak, item, side)) as critical from g group by 1),
 t as (select item, side, count(*) as matches, sum(total) as impact from g group by 1, 2)

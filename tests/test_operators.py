@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchloom.functions import expressions as X
 from matchloom.operators import baskets as B
+from matchloom.operators import impact as M
 from matchloom.operators import sequences as S
 
 
@@ -77,3 +78,13 @@ def test_sampling_is_deterministic(spark):
     c = spark.createDataFrame([("a", 3, 4), ("b", 0, 9)], "k string, wins long, losses long")
     one, two = (sorted(map(tuple, B.sample_beta(c.repartition(n), 20, 3).collect())) for n in (1, 3))
     assert one == two and all(0 < v < 1 for _, _, v in one)
+
+
+def test_impact_sums_in_the_order_of_events(spark):
+    """0.1 + 0.2 + 0.3 is over 0.6, 0.3 + 0.2 + 0.1 is not: who carries must not hang on how rows come."""
+    rows = [(1, "a", "team", x, i) for i, x in enumerate((0.1, 0.2, 0.3))] + [(1, "b", "team", 0.6, 9)]
+    want = [("a", 0.1 + 0.2 + 0.3, 1, 0), ("b", 0.6, 0, 1)]
+    for given in (rows, rows[::-1], [rows[i] for i in (1, 3, 2, 0)]):
+        wp = spark.createDataFrame(given, "match_id long, item string, side string, wpa double, tick int").repartition(3, "tick")
+        got = M.impact_by_side(wp, ["tick"]).collect()
+        assert sorted((r.item, r.impact, r.carry, r.liability) for r in got) == want
