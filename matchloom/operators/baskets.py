@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from .outcomes import baskets
+from .ranges import numbered
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
@@ -110,35 +112,62 @@ def compositions(m: DataFrame, b: DataFrame) -> DataFrame:
 MASK_ITEMS = 62
 
 
-def jaccard_join(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of sets(id, items) with a < b and similarity >= threshold > 0.
+def basket_counts(r: DataFrame, names: DataFrame, side: int = 1) -> DataFrame:
+    """(items, n): each different basket of one side and in how many matches it is; names(item) holds every item of r.
+
+    Over a small vocabulary a match's items are gathered as the bits of a long: sets of texts take more of the disk when they
+    are dealt by match, and are sorted there where they are many.
+    """
+    known = sorted(x["item"] for x in names.where("item is not null").distinct().limit(MASK_ITEMS + 1).collect())  # a few names
+    n = F.count(F.lit(1)).alias("n")
+    if not 0 < len(known) <= MASK_ITEMS:
+        return baskets(r, side).groupBy("items").agg(n)
+    flag = F.create_map(*(F.lit(v) for i, x in enumerate(known) for v in (x, 1 << i))).cast("map<string,bigint>")
+    masks = r.where(F.col("is_player") == side).select("match_id", flag[F.col("item")].alias("flag")).groupBy("match_id").agg(F.coalesce(F.bit_or("flag"), F.lit(0)).alias("mask"))
+    items = F.array_compact(F.array(*(F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(x)) for i, x in enumerate(known))))
+    return masks.groupBy("mask").agg(n).select(items.alias("items"), "n")
+
+
+def jaccard_join(sets: DataFrame, threshold: float, within: str | None = None) -> DataFrame:
+    """(a, b, jaccard) of sets(id, items) with a < b and similarity >= threshold > 0; with `within`, a column of sets, only sets equal there are paired.
 
     Sets that must share two items meet under pairs of their rarest ones (of k shared items two are among the first
     size - k + 2 of either), so a frequent item builds no pairs; sets so small that they need share one only meet under it.
-    Over a small vocabulary sets travel as bit masks, else their items are joined to the candidates.
+    Over a small vocabulary sets travel as bit masks, which also tell the one key a pair is taken under; else items are joined to the candidates.
     """
-    rows = sets.select("id", F.explode(F.array_distinct("items")).alias("item"))
-    df = rows.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
-    small = df.limit(MASK_ITEMS + 1).count() <= MASK_ITEMS
+    g = [within] if within else []
+    rows = sets.select("id", *g, F.explode(F.array_distinct("items")).alias("item"))
+    df = rows.groupBy(*g, "item").agg(F.count(F.lit(1)).alias("df"))
+    names = df.select("item").distinct()
+    small = names.limit(MASK_ITEMS + 1).count() <= MASK_ITEMS
     if small:
-        df = F.broadcast(df.withColumn("bit", F.row_number().over(Window.orderBy("item")) - 1))  # at most MASK_ITEMS rows
-    ordered = rows.join(df, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("z"), *([F.sum(F.expr("shiftleft(1L, bit)")).alias("mask")] if small else []))
+        flags = F.broadcast(names.withColumn("bit", F.row_number().over(Window.orderBy("item")) - 1).select("item", F.expr("shiftleft(1L, bit)").alias("flag")))  # at most MASK_ITEMS rows
+        df = df.join(flags, "item")
+    ordered = rows.join(df if g or not small else F.broadcast(df), [*g, "item"]).groupBy("id", *g).agg(F.array_sort(F.collect_list(F.struct("df", "item", *(["flag"] if small else [])))).alias("z"))
     size = F.size("z")
     need = F.ceil(size * F.lit(threshold) - 1e-9).cast("int")
-    head = F.transform(F.slice("z", 1, size - need + 2), lambda x: x["item"])
-    pairs = F.flatten(F.transform(head, lambda x, i: F.transform(F.slice(head, i + 2, F.size(head)), lambda y: F.concat_ws("\x1f", x, y))))
-    single = F.when(size * threshold <= 1 + 1e-9, F.transform("z", lambda x: x["item"])).otherwise(F.array().cast("array<string>"))
-    keys = ordered.select("id", size.alias("size"), *(["mask"] if small else []), F.explode(F.concat(pairs, single)).alias("key"))
-    a, b = (keys.select(F.col("id").alias(n), F.col("size").alias(f"size_{n}"), *([F.col("mask").alias(f"mask_{n}")] if small else []), "key") for n in "ab")
-    met = a.join(b, "key").where("a < b").where((F.col("size_a") >= F.col("size_b") * threshold - 1e-9) & (F.col("size_b") >= F.col("size_a") * threshold - 1e-9))
+    x_ = lambda x: x["flag"] if small else x["item"]
+    mask = lambda z: F.aggregate(z, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x))
+    head = F.transform(F.slice("z", 1, size - need + 2), x_)
+    pair = (lambda x, y: x.bitwiseOR(y)) if small else (lambda x, y: F.concat_ws("\x1f", x, y))
+    pairs = F.flatten(F.transform(head, lambda x, i: F.transform(F.slice(head, i + 2, F.size(head)), lambda y: pair(x, y))))
+    single = F.when(size * threshold <= 1 + 1e-9, F.transform("z", x_)).otherwise(F.array().cast("array<bigint>" if small else "array<string>"))
+    more = {"mask": mask(F.transform("z", x_)), "head": mask(head)} if small else {}
+    keys = ordered.select("id", *g, size.alias("size"), *(v.alias(k) for k, v in more.items()), F.explode(F.concat(pairs, single)).alias("key"))
+    a, b = (keys.select(F.col("id").alias(n), *g, *(F.col(c).alias(f"{c}_{n}") for c in ("size", *more)), "key") for n in "ab")
+    # keys are many more than the file of sets lets Spark expect: never broadcast
+    met = a.join(b.hint("merge"), [*g, "key"]).where("a < b").where((F.col("size_a") >= F.col("size_b") * threshold - 1e-9) & (F.col("size_b") >= F.col("size_a") * threshold - 1e-9))
     if small:
-        both = F.bit_count(F.col("mask_a").bitwiseAND(F.col("mask_b")))
+        least = lambda m: m.bitwiseAND(-m)
+        common, shared = F.col("head_a").bitwiseAND(F.col("head_b")), F.col("mask_a").bitwiseAND(F.col("mask_b"))
+        rest = common.bitwiseXOR(least(common))
+        met = met.where(F.col("key") == F.when(rest != 0, least(common).bitwiseOR(least(rest))).otherwise(least(shared)))
+        both = F.bit_count(shared)
     else:
         of = lambda n: sets.select(F.col("id").alias(n), F.array_distinct("items").alias(f"items_{n}"))
         met = met.select("a", "b", "size_a", "size_b").distinct().join(of("a"), "a").join(of("b"), "b")
         both = F.size(F.array_intersect("items_a", "items_b"))
-    out = met.select("a", "b", (both / (F.col("size_a") + F.col("size_b") - both)).alias("jaccard")).where(F.col("jaccard") >= threshold)
-    return out.distinct() if small else out
+    return met.select("a", "b", (both / (F.col("size_a") + F.col("size_b") - both)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
 def greedy_clusters(comp: DataFrame, group: str, threshold: float) -> DataFrame:
@@ -151,36 +180,33 @@ def greedy_clusters(comp: DataFrame, group: str, threshold: float) -> DataFrame:
     groups are founders of their own. The order inside items makes no difference; equal rows of a group are one basket with one cluster.
     """
     key = F.concat_ws("\x1d", F.coalesce(F.col(group).cast("string"), F.lit("\x00")), F.array_join(F.array_sort(F.array_distinct(F.coalesce("items", F.array().cast("array<string>")))), "\x1f"))
-    keyed = comp.withColumn("_key", key)
-    nodes = written(keyed.groupBy("_key").agg(F.first(group).alias("_group"), F.first("items").alias("items"), F.max("n").alias("n")), "baskets")
-    # items carry their group, so that baskets of different groups never meet
-    own = F.transform("items", lambda x: F.concat_ws("\x1e", F.col("_group").cast("string"), x))
-    links = jaccard_join(nodes.where(F.col("_group").isNotNull() & (F.size("items") > 0)).select(F.col("_key").alias("id"), own.alias("items")), threshold).select("a", "b")
-    order = lambda n: F.struct(-F.col(f"n_{n}"), F.col(n))
-    counts = lambda n: nodes.select(F.col("_key").alias(n), F.col("n").alias(f"n_{n}"))
-    both = links.join(counts("a"), "a").join(counts("b"), "b").withColumn("_first", order("a") < order("b"))
-    directed = both.select(F.when(F.col("_first"), F.col("a")).otherwise(F.col("b")).alias("early"), F.when(F.col("_first"), F.col("b")).otherwise(F.col("a")).alias("late"))
-    links = written(directed, "basket-links")
-    waiting, open_links, settled = nodes.select("_key"), links, None
+    keyed = written(comp.withColumn("_key", key), "basket-rows")  # read twice, and what it is made of can be far larger
+    one = keyed.groupBy("_key").agg(F.first(group).cast("string").alias("_group"), F.first("items").alias("items"), F.max("n").alias("n"))
+    # baskets are known by their place in the order, so the earlier of two is the one with the smaller number
+    nodes = written(numbered(one, [F.desc("n"), F.col("_key")]).select(F.col("_place").alias("_id"), "_key", "_group", "items"), "baskets")
+    pairs = jaccard_join(nodes.where(F.col("_group").isNotNull() & (F.size("items") > 0)).select(F.col("_id").alias("id"), "_group", "items"), threshold, "_group")
+    links = written(pairs.select(F.col("a").alias("early"), F.col("b").alias("late")), "basket-links")
+    waiting, open_links, settled, done = nodes.select("_id"), links, None, None
     while True:
-        # a link's earlier end is a founder or waits; ends that are members are gone
-        if settled is not None:
-            open_links = open_links.join(settled.select(F.col("_key").alias("early"), "founds"), "early", "left").where("founds is null or founds").withColumn("founds", F.coalesce("founds", F.lit(False)))
+        # a link's earlier end waits or was settled in the last round, else its later end would not wait; ends that are members are gone
+        if done is not None:
+            open_links = open_links.join(done.select(F.col("_id").alias("early"), "founds"), "early", "left").where("founds is null or founds").withColumn("founds", F.coalesce("founds", F.lit(False)))
         else:
             open_links = open_links.withColumn("founds", F.lit(False))
-        seen = open_links.groupBy(F.col("late").alias("_key")).agg(F.max("founds").alias("_member"))
-        state = waiting.join(seen, "_key", "left").select("_key", F.when(F.col("_member").isNull(), True).when(F.col("_member"), False).alias("founds"))
+        seen = open_links.groupBy(F.col("late").alias("_id")).agg(F.max("founds").alias("_member"))
+        state = waiting.join(seen, "_id", "left").select("_id", F.when(F.col("_member").isNull(), True).when(F.col("_member"), False).alias("founds"))
         state = written(state, "basket-round")
         done = state.where("founds is not null")
         settled = done if settled is None else settled.unionByName(done)
-        waiting = state.where("founds is null").select("_key")
+        waiting = state.where("founds is null").select("_id")
         if waiting.isEmpty():
             break
-        open_links = written(open_links.drop("founds").join(waiting.select(F.col("_key").alias("late")), "late", "left_semi"), "basket-links")
-    founders = settled.where("founds").join(nodes, "_key").withColumn("cluster", F.row_number().over(Window.partitionBy("_group").orderBy(F.desc("n"), "_key")) - 1).select("_key", "n", "cluster")
-    joined = links.join(founders.select(F.col("_key").alias("early"), "cluster"), "early").groupBy(F.col("late").alias("_key")).agg(F.min("cluster").alias("_joined"))
-    members = settled.where("not founds").join(joined, "_key").select("_key", F.col("_joined").alias("cluster"))
-    return keyed.join(founders.select("_key", "cluster").unionByName(members), "_key").drop("_key")
+        open_links = written(open_links.drop("founds").join(waiting.select(F.col("_id").alias("late")), "late", "left_semi"), "basket-links")
+    founders = settled.where("founds").join(nodes.select("_id", "_group"), "_id").withColumn("cluster", F.row_number().over(Window.partitionBy("_group").orderBy("_id")) - 1).select("_id", "cluster")
+    joined = links.join(founders.select(F.col("_id").alias("early"), "cluster"), "early").groupBy(F.col("late").alias("_id")).agg(F.min("cluster").alias("_joined"))
+    members = settled.where("not founds").join(joined, "_id").select("_id", F.col("_joined").alias("cluster"))
+    clusters = founders.unionByName(members).join(nodes.select("_id", "_key"), "_id").drop("_id")
+    return keyed.join(clusters, "_key").drop("_key")
 
 
 def combinations(sets: DataFrame, k: int) -> DataFrame:

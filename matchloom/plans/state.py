@@ -34,7 +34,7 @@ add("f5_cooccurrence", lambda s, d: B.cooccurrence(rosters(s, d), 3),
     "with q as (select distinct match_id, is_player, item from r) select x.item as a, y.item as b, count(*) as n from q x join q y on x.match_id = y.match_id and x.is_player = y.is_player and x.item < y.item group by 1, 2 having count(*) >= 3", "r")
 add("f6_compositions", lambda s, d: B.compositions(matches(s, d), O.baskets(rosters(s, d))),
     f"with {_BASKETS} select array_to_string(items, '|') as basket, count(*) as n, count(*) filter (result = 'win') as wins, count(*) filter (result = 'loss') as losses from m join b using (match_id) group by 1", "mr")
-add("f7_greedy_clusters", lambda s, d: B.greedy_clusters(O.baskets(rosters(s, d)).groupBy("items").agg(F.count(F.lit(1)).alias("n")).withColumn("anchor", F.element_at("items", 1)), "anchor", 0.55).select("anchor", F.array_join("items", "|").alias("basket"), "n", "cluster"),
+add("f7_greedy_clusters", lambda s, d: B.greedy_clusters(B.basket_counts(rosters(s, d), table(s, d, "part").select(F.col("p_brand").alias("item"))).withColumn("anchor", F.element_at("items", 1)), "anchor", 0.55).select("anchor", F.array_join("items", "|").alias("basket"), "n", "cluster"),
     f"""with recursive {R_SQL}, {_BASKETS}, c as (select items[1] as anchor, items, count(*) as n from b group by 2), o as (select *, row_number() over (partition by anchor order by n desc, array_to_string(items, chr(31))) as i from c),
 g as (select distinct anchor, 0::bigint as i, []::varchar[][] as founders, []::varchar[] as items, 0::bigint as n, 0::bigint as cluster from c
  union all select anchor, i, case when hit > 0 then founders else list_append(founders, items) end, items, n, case when hit > 0 then hit - 1 else len(founders) end

@@ -25,6 +25,22 @@ def test_resource_trace(spark):
     assert (r.n, r.spent, r.left, r.overflow, r.short) == (3, 16, 0.0, 16.0, 1.5)
 
 
+def test_basket_counts_gather_bits(spark):
+    rng = random.Random(11)
+    for names in ("abcdefgh", [f"i{k}" for k in range(62)], [f"i{k}" for k in range(70)]):
+        rows = [(m, rng.choice(names), rng.randint(0, 1)) for m in range(300) for _ in range(rng.randint(0, 4))] + [(900, None, 1), (901, None, 1), (901, names[-1], 1), (902, names[0], 0)]
+        want = {}
+        for m in {m for m, _, p in rows if p}:
+            basket = tuple(sorted({i for k, i, p in rows if k == m and p and i is not None}))
+            want[basket] = want.get(basket, 0) + 1
+        r = spark.createDataFrame(rows, "match_id long, item string, is_player int").repartition(3)
+        out = B.basket_counts(r.distinct(), spark.createDataFrame([(x,) for x in names], "item string"))
+        got = [(tuple(x["items"]), x["n"]) for x in out.collect()]
+        assert len(got) == len(want) and dict(got) == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert ("ObjectHashAggregate" in plan) == (len(names) > 62)
+
+
 def test_greedy_clusters_by_hand(spark):
     c = spark.createDataFrame([("g", ["a", "b", "c"], 5), ("g", ["a", "b", "d"], 3), ("g", ["x", "y"], 4)], "g string, items array<string>, n int")
     got = {tuple(r.items_): r.cluster for r in B.greedy_clusters(c.withColumnRenamed("g", "anchor"), "anchor", 0.5).withColumnRenamed("items", "items_").collect()}
@@ -51,6 +67,26 @@ def test_greedy_clusters_equal_the_loop(spark):
     assert B.greedy_clusters(odd, "g", 0.5).count() == 4 and not B.greedy_clusters(odd.limit(0), "g", 0.5).collect()
 
 
+def test_greedy_clusters_read_their_input_once(spark, tmp_path):
+    """What the result is built on is written tables; the input, which can be a whole table's joins, is not computed again."""
+    path = str(tmp_path / "baskets")
+    spark.createDataFrame([("g", ["a", "b", "c"], 5), ("g", ["a", "b", "d"], 3), ("h", ["x", "y"], 4)], "g string, items array<string>, n int").write.parquet(path)
+    out = B.greedy_clusters(spark.read.parquet(path), "g", 0.5)
+    assert out.inputFiles() and not [f for f in out.inputFiles() if path in f]
+    assert sorted((r.g, r.n, r.cluster) for r in out.collect()) == [("g", 3, 0), ("g", 5, 0), ("h", 4, 0)]
+
+
+def test_similar_sets_of_a_group_once_each(spark):
+    rng = random.Random(8)
+    for letters, t in (("abcdefghij", 0.3), ("abcdefghij", 0.55), ([f"i{k}" for k in range(80)], 0.2)):  # few items are bits of a mask, many are not
+        sets = {i: (rng.choice("pq"), set(rng.sample(letters, rng.randint(1, 7)))) for i in range(120)}
+        df = spark.createDataFrame([(i, g, list(s)) for i, (g, s) in sets.items()], "id long, g string, items array<string>")
+        for within in (None, "g"):
+            want = {(a, b) for a, (g, s) in sets.items() for b, (h, u) in sets.items() if a < b and (not within or g == h) and len(s & u) >= t * len(s | u) - 1e-12}
+            got = [(r.a, r.b) for r in B.jaccard_join(df, t, within).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_asof_plan_builds_no_pairs(spark):
     a = spark.createDataFrame([(1, 5)], "k int, t int")
     b = spark.createDataFrame([(1, 3, 9)], "k int, u int, v int")
